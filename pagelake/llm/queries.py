@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, packing, token_counts, url_filters
+from . import fertility, minmax, mixing, packing, token_counts, url_filters
 from .shared import only
 
 
@@ -68,6 +68,10 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), ["doc_id"])
 
 
+def op6_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, bands=24, rows=6)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocab("word_bpe_49k.json"), 4096, 1)
 
@@ -76,6 +80,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocab("byte_bpe_50k.json"), ["doc_id"], 512)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_repeats=2).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
