@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, minmax, mixing, packing, token_counts, url_filters
+from . import fertility, line_dedup, minmax, mixing, packing, token_counts, url_filters
 from .shared import only
 
 
@@ -80,6 +80,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocab("byte_bpe_50k.json"), ["doc_id"], 512)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(only(table(spark, sf_dir, "documents"), "doc_id", "text"), percent=80)
+    return cut.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_repeats=2).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
