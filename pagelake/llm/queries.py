@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, line_dedup, minmax, mixing, packing, token_counts, url_filters
+from . import fertility, line_dedup, mih, minmax, mixing, packing, token_counts, url_filters
 from .shared import only
 
 
@@ -68,6 +68,10 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), ["doc_id"])
 
 
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, bands=24, rows=6)
 
