@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, line_dedup, mih, minmax, mixing, packing, token_counts, url_filters
+from . import fertility, line_dedup, mih, minmax, mixing, ordinal, packing, token_counts, url_filters
 from .shared import only
 
 
@@ -68,6 +68,14 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), ["doc_id"])
 
 
+def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 2 for documents of high quality that are not toxic, 1 with one of these two, 0 with neither; kept: most likely the top grade."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = ordinal.fit(docs, labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade")))
+    scored = ordinal.score(docs, model, ["doc_id"], least_grade=2, least=0.5)
+    return scored.select("doc_id", "expected_grade", F.element_at("tails", -1).alias("tail_probability"), "kept")
+
+
 def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 

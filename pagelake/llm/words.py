@@ -129,7 +129,13 @@ def _wide_space_ends(b: np.ndarray) -> np.ndarray:
 
 
 def units(texts: Texts, spaces: bool) -> tuple[pa.Array, np.ndarray]:
-    """Pieces of each text that any tokenizer which parts letters, digits, other signs and white space encodes one by one
+    """The pieces of `unit_runs` as strings, and how many each text has."""
+    data, ends, counts = unit_runs(texts, spaces)
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data)), counts
+
+
+def unit_runs(texts: Texts, spaces: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of each text, as bytes and offsets in them, that any tokenizer which parts letters, digits, other signs and white space encodes one by one
     as it encodes the whole, and how many each text has. spaces: white space stays before the piece that follows it;
     else it is dropped. Where it is doubtful whether the tokenizer parts, the text isn't parted."""
     b = texts.bytes
@@ -145,14 +151,14 @@ def units(texts: Texts, spaces: bool) -> tuple[pa.Array, np.ndarray]:
         part[1:] |= (kind[1:] == _SPACE) & solid
         part[inner] = True
         begin = np.flatnonzero(part)
-        return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(b))), pa.py_buffer(np.ascontiguousarray(b))), texts.per_text(part)
+        return np.ascontiguousarray(b), np.append(begin, len(b)), texts.per_text(part)
     part |= (kind != _SPACE) & (before == _SPACE)
     part[inner] = kind[inner] != _SPACE
     solid = kind != _SPACE
     place = np.cumsum(solid, dtype=np.int64) - solid
     begin = place[part]
     data = b[solid]
-    return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)), texts.per_text(part)
+    return data, np.append(begin, len(data)), texts.per_text(part)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
