@@ -7,9 +7,11 @@ distinct permutations and all minima or all maxima, put similar documents into o
 shares none of the `bands` buckets with probability (1 - s^rows)^bands, below 1.2e-5 for the settings used here.
 
 Equal sets are one class from the start, by a 128-bit digest. In a bucket every class is first paired with the smallest
-one, and the pairs are confirmed on full sets. Where a bucket's classes then still lie in several components, those
-outside its largest component are paired with all classes of other components; pairs within one component can add
-nothing and are never formed. So no group of copies, however large, is expanded into all its pairs.
+one, and the pairs are confirmed on full sets. Where a bucket's classes then lie in several components, more links are
+looked for between these; pairs within one component can add nothing and are never formed. Classes beside a big
+component are held against all its sets, block by block, through postings of shingles, and give one link at most for each
+block. What is still apart after that, in small components, is paired. So no group of copies, however large, is expanded
+into all its pairs, and no link between components is left out.
 
 Defined results: a document with fewer than k words is the one shingle of all its words; one without words or with a null
 text has an empty set and is linked with nothing. Rows with equal doc_id and text get equal rows. A null doc_id is
@@ -21,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,11 @@ from .shared import Scratch, only
 from .words import Texts, Words, chunks, mix, shingle_hashes
 
 
+#: Classes from which a component is big, and shingles that a block of it holds, about.
+BIG = 32
+BLOCK = 400_000
+
+
 class MinMax:
     """Band keys of a set; `bands` is even, and half of them hold minima, half maxima."""
 
@@ -104,6 +112,53 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def _linked(members: list[np.ndarray], asking: list[np.ndarray], percent: int) -> list[int]:
+    """For each set asking: a member that it is linked with, or -1. All intersections with it are counted at once."""
+    sizes = np.array([len(s) for s in members], np.int64)
+    shingles = np.concatenate(members) if members else np.zeros(0, np.uint64)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], np.repeat(np.arange(len(members)), sizes)[order]
+    out = []
+    for own in asking:
+        begin, end = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+        n = end - begin
+        hits = owner[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        common = np.bincount(hits, minlength=len(members))
+        good = np.flatnonzero(100 * common >= percent * (sizes + len(own) - common))
+        out.append(int(good[0]) if len(good) else -1)
+    return out
+
+
+def _to_big(named: DataFrame, found: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Links between big components and the other classes in their buckets: one for each class and block of a component.
+
+    A component's sets are dealt into blocks of bounded size, and so are the classes to be held against them; every
+    class meets every block, so a class without a result has no link with the component."""
+    big = scratch.write(named.where("size IS NOT NULL").select("key", F.col("component").alias("into"), F.col("size").alias("into_size"), F.col("shingles").alias("into_shingles")).distinct(), "big")
+    rank = lambda size, name: F.struct(size, name)
+    attached = named.join(big, "key").where((F.col("component") != F.col("into")) & (F.col("size").isNull() | (rank(F.col("size"), F.col("component")) < rank(F.col("into_size"), F.col("into")))))
+    attached = scratch.write(attached.select("rep", "n", "into", "into_shingles").distinct(), "attached")
+    if attached.isEmpty():
+        return None
+    blocks = lambda total: F.ceil(total / BLOCK).cast("int")
+    needs = scratch.write(attached.groupBy("into", "into_shingles").agg(F.sum("n").alias("asking")).select("into", blocks(F.col("into_shingles")).alias("parts"), blocks(F.col("asking")).alias("turns")), "needs")
+    dealt = lambda node, count: F.pmod(F.xxhash64(node), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    members = found.withColumnRenamed("component", "into").join(needs, "into").select("into", dealt("node", F.col("parts")).alias("part"), "turns", "node").select("into", "part", every(F.col("turns")).alias("turn"), F.col("node").alias("doc_id"))
+    asking = attached.join(needs, "into").select("into", dealt("rep", F.col("turns")).alias("turn"), "parts", "rep").select("into", every(F.col("parts")).alias("part"), "turn", F.col("rep").alias("doc_id"))
+
+    def hold(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        to_sets = lambda frame: [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+        at = np.array(_linked(to_sets(own), to_sets(others), percent), np.int64)
+        good = at >= 0
+        return pd.DataFrame({"a": others["doc_id"].to_numpy()[good], "b": own["doc_id"].to_numpy()[at[good]]})
+
+    keys = ["into", "part", "turn"]
+    own = scratch.write(members.join(sets, "doc_id").select(*keys, "doc_id", "shingles"), "members")
+    others = scratch.write(asking.join(sets, "doc_id").select(*keys, "doc_id", "shingles"), "asking")
+    return scratch.write(own.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(hold, "a long, b long"), "big_links")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (it is its own).
 
@@ -134,9 +189,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     found = components(links, scratch)
 
     named = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    per = named.groupBy("key", "component").agg(F.count("*").alias("m"))
+    big = found.join(classes.select(F.col("rep").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where(F.col("size") >= BIG)
+    named = scratch.write(named.join(big, "component", "left"), "named")
+    big_links = _to_big(named, found, sets, percent, scratch)
+    if big_links is not None:
+        links = links.union(big_links)
+        found = components(links, scratch)
+
+    # Pairs with a member of a big component are settled; what is left is paired across components.
+    small = named.where("size IS NULL").select("key", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    per = small.groupBy("key", "component").agg(F.count("*").alias("m"))
     largest = per.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    mixed = scratch.write(named.join(largest, "key"), "mixed")
+    mixed = scratch.write(small.join(largest, "key"), "mixed")
     outer = mixed.where("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), "main")
     inner = mixed.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
     once = (F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))

@@ -68,6 +68,21 @@ def test_components_equal_brute_force(spark, k, percent, bands, rows):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(label))
 
 
+@pytest.mark.parametrize("big,block", [(3, 500), (32, 400_000)])
+def test_strays_of_a_large_group(spark, monkeypatch, big, block):
+    """Copies edited so much that many are linked with some of the group but not with its smallest id."""
+    monkeypatch.setattr(minmax, "BIG", big)
+    monkeypatch.setattr(minmax, "BLOCK", block)
+    rng = random.Random(big)
+    base = " ".join(f"t{i}" for i in range(150))
+    texts = [edited(base, rng.randint(0, 9), rng) for _ in range(130)] + [edited(base.replace("t1", "s1"), rng.randint(0, 5), rng) for _ in range(40)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, t, None, 1, "x") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in minmax.near_duplicates(df, 3, 85, 24, 6).collect()}
+    label, _ = plain_components(texts, 3, 85)
+    assert len(set(label)) > 5 and [got[i] for i in range(len(texts))] == label
+
+
 def test_near_duplicates_of_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e", "s", 1, "x"), (None, "a b c d e", "s", 1, "x"), (4, "q r s t u v", "s", 1, "x"), (4, "q r s t u v", "s", 1, "x")], DOCS)
     rows = minmax.near_duplicates(df).collect()
