@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, line_dedup, mih, minmax, mixing, ordinal, packing, token_counts, url_filters
+from . import fertility, line_dedup, mih, minmax, mixing, ordinal, packing, token_counts, url_filters, warc
 from .shared import only
 
 
@@ -64,6 +64,13 @@ FROM globbed
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two records for each page: its metadata and its plain text, with their own and their source's digests."""
+    responses = warc.responses_of(table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z")
+    made = warc.derivatives(responses)
+    return made.select("record_id", "type", "refers_to", "target_uri", "date", "content_type", "block_digest", "payload_digest", "source_digest", F.length("block").cast("long").alias("block_length"), F.decode("block", "UTF-8").alias("block"))
+
+
 def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), ["doc_id"])
 
