@@ -9,12 +9,12 @@ in the corpus. The rank table has 65536 entries whatever the corpus; any total o
 only make the prefixes selective. Two similar sets of n and m words share a word among the first n - ceil(t n) + 1 and
 m - ceil(t m) + 1 in that order (prefix filter). Lines that share a prefix word pass on only if their sizes allow the
 threshold (length filter), if enough words are left after the shared one on both sides (positional filter), and if their
-64-bit word maps differ in few enough bits, a bound that is exact too. What passes is verified on the full sets.
+128-bit word maps differ in few enough bits, a bound that is exact too. What passes is verified on the full sets.
 
-Equal sets are one class from the start. Word groups are read in order of position in the corpus. Small ones give all
-their pairs that pass the filters. Of a large one, or one of a very frequent word, which is dealt over several tasks,
-each class is first paired with the earliest; only those still without an earlier match are then joined with the whole
-group. So a template with very many variants isn't expanded into all its pairs, and no pair is left out.
+Equal sets are one class from the start. Word groups are read in order of line size, so that only lines of fitting sizes
+meet. Up to SMALL classes give all their pairs that pass the filters. Of a large group, or one of a very frequent word,
+which is dealt over several tasks, each class is first paired with an early one; only those still without an earlier
+match are then joined with the whole group. So a template with very many variants isn't expanded into all its pairs, and no pair is left out.
 
 Defined results: a null text stays null. Rows with equal doc_id share their place, so none of them is later than another.
 A null doc_id comes after all others. Extra columns are carried; an empty table gives an empty table.
@@ -35,9 +35,12 @@ from .words import Texts, Words, chunks, mix
 
 BUCKETS = 1 << 16
 #: Classes of a word's group whose pairs are all formed at once.
-SMALL = 24
-#: From so many occurrences of a word's bucket on, its group is dealt over SALTS tasks.
+SMALL = 512
+#: From so many occurrences of a word's bucket on, or so many times the mean, its group is dealt over SALTS tasks.
 FREQUENT = 50_000
+TIMES_MEAN = 100
+#: Rows that are gone through at once.
+ROWS = 100_000
 SALTS = 16
 _LAST = 2**63 - 1
 
@@ -73,10 +76,13 @@ class Lines:
             return np.zeros(0, np.int64)
         return (np.add.reduceat(mix(self.keys ^ np.uint64(0x2545F4914F6CDD1D)), self.begin) + self.sizes.astype(np.uint64)).view(np.int64)
 
-    def maps(self) -> np.ndarray:
+    def maps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each word sets one of 128 bits."""
         if not self.n:
-            return np.zeros(0, np.int64)
-        return np.bitwise_or.reduceat(np.uint64(1) << (mix(self.keys) >> np.uint64(58)), self.begin).view(np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = mix(self.keys) >> np.uint64(57)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        return tuple(np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == w, bit, np.uint64(0)), self.begin).view(np.int64) for w in range(2))
 
     def set_of(self, i: int) -> np.ndarray:
         return self.keys[self.begin[i] : self.begin[i] + self.sizes[i]]
@@ -112,7 +118,7 @@ def _least(n, percent: int):
 
 
 def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
-    """A row per line with words; map and prefix (null if no other line can be similar) only for the first of equal ones in a chunk."""
+    """A row per line with words; prefix (null if no other line can be similar) only for the first of equal ones in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,84 +136,97 @@ def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
                 ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
                 doc = part["doc"].to_numpy()[lines.text]
                 listed = pa.ListArray.from_arrays(ends, pa.array(prefix, pa.int64()), mask=pa.array(size == 0))
-                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc), pa.array(lines.number), pa.array(n), pa.array(lines.maps()), listed], ["digest", "doc", "line", "n", "map", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc), pa.array(lines.number), pa.array(n), *map(pa.array, lines.maps()), listed], ["digest", "doc", "line", "n", "m1", "m2", "prefix"])
 
-    return _ready(docs).mapInArrow(run, "digest long, doc long, line long, n long, map long, prefix array<long>")
+    return _ready(docs).mapInArrow(run, "digest long, doc long, line long, n long, m1 long, m2 long, prefix array<long>")
 
 
-def _filters(n, m, i, j, a, b, percent: int):
-    """Length, positional and map filter, for sizes n and m, places i and j of the shared word and word maps a and b."""
-    need = (percent * (n + m) + 99 + percent) // (100 + percent)
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - i, m - j) >= need) & (n + m - np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) >= 2 * need)
+_CANDIDATE = "a long, b long, word long, digest long, n long, at long, m1 long, m2 long, doc long, line long"
+_NAMES = [x.split()[0] for x in _CANDIDATE.split(", ")]
+_ROW = ["salt", "word", "digest", "n", "at", "m1", "m2", "doc", "line"]
 
 
-_CANDIDATE = "a long, b long, word long, digest long, n long, at long, map long, doc long, line long"
-_NAMES = [x.split()[0] for x in _CANDIDATE.split(", ")]
+def _passes(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows i and j, which share a word, pass the length, positional and map filter."""
+    n, m = rows["n"][i], rows["n"][j]
+    need = (percent * (n + m) + 99 + percent) // (100 + percent)
+    good = (rows["digest"][i] != rows["digest"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - rows["at"][i], m - rows["at"][j]) >= need)
+    apart = sum(np.bitwise_count((rows[k][i] ^ rows[k][j]).view(np.uint64)).astype(np.int64) for k in ("m1", "m2"))
+    return good & (n + m - apart >= 2 * need)
 
 
 def _in_groups(percent: int, frequent: int):
-    """Rows sorted by (salt, word, doc, line) -> candidate pairs (a earlier than b), and the rows of large groups."""
+    """Rows sorted by (salt, word, n) -> candidate pairs (a, b), and the rows of large groups."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the rows of the last group, whose end isn't seen yet
-        hub = None  # the first row of a large group that goes on
-
-        def pairs(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            good = _filters(x["n"].to_numpy(), y["n"].to_numpy(), x["at"].to_numpy(), y["at"].to_numpy(), x["map"].to_numpy(), y["map"].to_numpy(), percent)
-            return pd.DataFrame({"a": x["digest"].to_numpy()[good], "b": y["digest"].to_numpy()[good]}).drop_duplicates()
-
-        def settle(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            """Whole groups, but that the first may continue the large group of `hub`."""
-            nonlocal hub
-            rows = rows.reset_index(drop=True)
-            group = (rows["word"].to_numpy()[1:] != rows["word"].to_numpy()[:-1]) | (rows["salt"].to_numpy()[1:] != rows["salt"].to_numpy()[:-1])
-            group = np.concatenate([[0], np.cumsum(group)])
-            size = np.bincount(group)
-            large = size > SMALL
-            large[rows["word"].to_numpy().view(np.uint64)[np.searchsorted(group, np.arange(len(size)))] >> np.uint64(48) >= frequent] = True
-            goes_on = hub is not None and (hub["word"].iloc[0], hub["salt"].iloc[0]) == (rows["word"].iloc[0], rows["salt"].iloc[0])
-            large[0] |= goes_on
-            small = rows[~large[group] & (size[group] > 1)]
-            of = group[small.index]
-            for lag in range(1, SMALL):
-                same = np.flatnonzero(of[lag:] == of[:-lag]) if lag < len(of) else []
-                if not len(same):
-                    break
-                yield pairs(small.iloc[same], small.iloc[same + lag])
-            big = rows[large[group]]
-            if len(big):
-                of = group[big.index]
-                heads = np.searchsorted(of, of)
-                first = big.iloc[heads]
-                if goes_on:
-                    first = pd.concat([hub.iloc[np.zeros(int((of == 0).sum()), int)], first.iloc[int((of == 0).sum()) :]])
-                yield pairs(first, big)
-                yield big[["word", "digest", "n", "at", "map", "doc", "line"]]
-                if large[-1]:
-                    hub = hub if goes_on and group[-1] == 0 else rows.iloc[[int(np.searchsorted(group, group[-1]))]]
-
-        def sent(frame: pd.DataFrame) -> pa.RecordBatch:
-            if "a" in frame:
-                frame = frame[frame["a"] != frame["b"]]
-            return pa.RecordBatch.from_arrays([pa.array(frame[c].to_numpy(), pa.int64()) if c in frame else pa.nulls(len(frame), pa.int64()) for c in _NAMES], _NAMES)
+    def of_groups(rows: dict[str, np.ndarray], hub: dict | None) -> tuple[list[dict[str, np.ndarray]], dict | None]:
+        """Output for whole groups, but that the first may continue the large group of `hub` and the last may go on."""
+        word, salt, n = rows["word"], rows["salt"], rows["n"]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (salt[1:] != salt[:-1])
+        begin = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        size = np.diff(np.append(begin, len(word)))
+        large = (size > SMALL) | (word[begin].view(np.uint64) >> np.uint64(48) >= frequent)
+        goes_on = hub is not None and hub["word"][0] == word[0] and hub["salt"][0] == salt[0]
+        large[0] |= goes_on
+        out = []
+        # Within a small group rows are in order of n: once a later row is too long, all after it are.
+        i, lag = np.flatnonzero(~large[group] & (size[group] > 1)), 0
+        end = (begin + size)[group]
+        while len(i):
+            lag += 1
+            i = i[i + lag < end[i]]
+            i = i[percent * n[i + lag] <= 100 * n[i]]
+            good = i[_passes(rows, i, i + lag, percent)]
+            out.append({"a": rows["digest"][good], "b": rows["digest"][good + lag]})
+        for g in np.flatnonzero(large):
+            own = np.arange(begin[g], begin[g] + size[g])
+            if not (g == 0 and goes_on):
+                first = own[np.lexsort((rows["line"][own], rows["doc"][own]))[0]]
+                hub = {k: v[first : first + 1] for k, v in rows.items()}
+            both = {k: np.concatenate([hub[k], rows[k][own]]) for k in rows}
+            good = np.flatnonzero(_passes(both, np.zeros(len(own), np.int64), np.arange(1, len(own) + 1), percent))
+            out.append({"a": np.repeat(hub["digest"], len(good)), "b": rows["digest"][own[good]]})
+            out.append({k: rows[k][own] for k in _NAMES[2:]})
+        return out, hub if large[-1] else None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        hub = None
+
+        def settle(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, hub
+            rows = {k: np.concatenate([h[k] for h in held]) for k in _ROW}
+            held = []
+            if not last:
+                # The last group's end isn't seen yet: it waits, unless it is large already.
+                differs = (rows["word"] != rows["word"][-1]) | (rows["salt"] != rows["salt"][-1])
+                at = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+                at = at if len(differs) - at <= SMALL else len(differs)
+                held = [{k: v[at:] for k, v in rows.items()}]
+                rows = {k: v[:at] for k, v in rows.items()}
+            if not len(rows["word"]):
+                return
+            out, hub = of_groups(rows, hub)
+            pairs = {k: np.concatenate([x[k] for x in out if "a" in x] or [np.zeros(0, np.int64)]) for k in ("a", "b")}
+            least, most = np.minimum(pairs["a"], pairs["b"]), np.maximum(pairs["a"], pairs["b"])
+            single = pd.MultiIndex.from_arrays([least, most]).drop_duplicates() if len(least) else None
+            if single is not None:
+                out = [{"a": single.get_level_values(0).to_numpy(), "b": single.get_level_values(1).to_numpy()}, *[x for x in out if "a" not in x]]
+            for x in out if single is not None else [x for x in out if "a" not in x]:
+                size = len(next(iter(x.values())))
+                yield pa.RecordBatch.from_arrays([pa.array(x[c]) if c in x else pa.nulls(size, pa.int64()) for c in _NAMES], _NAMES)
+
+        n = 0
         for batch in batches:
-            rows = batch.to_pandas()
-            if not len(rows):
-                continue
-            rows = pd.concat([held, rows], ignore_index=True) if held is not None else rows
-            last = (rows["word"] == rows["word"].iloc[-1]) & (rows["salt"] == rows["salt"].iloc[-1])
-            n_last = int(last.to_numpy().sum())
-            held = rows[len(rows) - n_last :]
-            ready = rows[: len(rows) - n_last]
-            if n_last > 4 * SMALL:  # large already: pass it on, but for a row
-                ready, held = rows[:-1], rows[-1:]
-            if len(ready):
-                for frame in settle(ready):
-                    yield sent(frame)
-        if held is not None and len(held):
-            for frame in settle(held):
-                yield sent(frame)
+            if batch.num_rows:
+                held.append({k: batch[k].to_numpy() for k in _ROW})
+                n += batch.num_rows
+            if n >= ROWS:
+                yield from settle(False)
+                n = 0
+        if held:
+            yield from settle(True)
 
     return run
 
@@ -244,39 +263,54 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.nd
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _in_order(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links (a, b) with the class that comes first in the corpus as a; those that share their first place have no order."""
+    place = lambda name: classes.select(F.col("digest").alias(name), F.struct("doc", "line").alias(f"{name}_at"))
+    placed = links.join(place("a"), "a").join(place("b"), "b").where("a_at <> b_at")
+    first = F.col("a_at") < F.col("b_at")
+    return placed.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
 def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs(doc_id, text) -> doc, lines: the numbers (from 0) of the lines of each document that go."""
     scratch = Scratch(docs.sparkSession, "lines")
     rank, counts = rarity(docs)
-    frequent = int(np.searchsorted(counts, FREQUENT))
+    frequent = int(np.searchsorted(counts, max(FREQUENT, TIMES_MEAN * counts.mean())))
     found = scratch.write(_occurrences(docs, rank, percent), "occurrences")
-    place = F.struct("doc", "line")
-    classes = found.groupBy("digest").agg(F.min(place).alias("p"), F.min("n").alias("n"), F.min("map").alias("map"), F.max("prefix").alias("prefix"), (F.min(place) != F.max(place)).alias("again"))
-    classes = scratch.write(classes.select("digest", "p.doc", "p.line", "n", "map", "prefix", "again"), "classes")
 
-    rows = classes.select("digest", "doc", "line", "n", "map", F.posexplode("prefix").alias("at", "word")).withColumn("at", F.col("at").cast("long"))
+    rows = found.where("prefix IS NOT NULL").select("digest", "doc", "line", "n", "m1", "m2", F.posexplode("prefix").alias("at", "word")).withColumn("at", F.col("at").cast("long"))
     is_frequent = F.shiftrightunsigned("word", 48) >= frequent
-    rows = rows.withColumn("salt", F.when(is_frequent, F.pmod(F.xxhash64("digest"), F.lit(SALTS))).otherwise(0).cast("int"))
-    grouped = rows.repartition("word", "salt").sortWithinPartitions("salt", "word", "doc", "line").select("salt", "word", "digest", "n", "at", "map", "doc", "line")
+    rows = rows.withColumn("salt", F.when(is_frequent, F.pmod(F.xxhash64("digest"), F.lit(SALTS))).otherwise(0))
+    single = rows.repartition("word", "salt").groupBy("word", "salt", "digest").agg(*[F.min(c).alias(c) for c in ("n", "at", "m1", "m2", "doc", "line")])
+    grouped = single.sortWithinPartitions("salt", "word", "n").select(*_ROW)
     groups = scratch.write(grouped.mapInArrow(_in_groups(percent, frequent), _CANDIDATE), "groups")
+    del rows, single, grouped
     scratch.drop()
-    links = scratch.write(_verified(groups.where("a IS NOT NULL").select("a", "b").distinct(), classes, docs, rank, percent, scratch), "links")
 
-    # Large groups: those still without an earlier match meet all earlier members.
+    place = F.struct("doc", "line")
+    classes = found.groupBy("digest").agg(F.min(place).alias("p"), (F.min(place) != F.max(place)).alias("again"))
+    classes = scratch.write(classes.select("digest", "p.doc", "p.line", "again"), "classes")
+    pairs = groups.where("a IS NOT NULL").select("a", "b").distinct()
+    links = scratch.write(_in_order(_verified(pairs, classes, docs, rank, percent, scratch), classes), "links")
     matched = links.select(F.col("b").alias("digest")).distinct()
-    big = groups.where("a IS NULL").select("word", "digest", "n", "at", "map", "doc", "line")
-    late = big.join(matched, "digest", "left_anti")
-    x, y = big.alias("x"), late.alias("y")
-    need = F.floor((percent * (F.col("x.n") + F.col("y.n")) + 99 + percent) / (100 + percent))
-    passes = (
-        (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
-        & (F.col("x.n") + F.col("y.n") - F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map"))) >= 2 * need)
-    )
-    earlier = F.struct("x.doc", "x.line") < F.struct("y.doc", "y.line")
-    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & earlier & passes).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-    rest = scratch.write(rest, "rest")
-    matched = matched.union(_verified(rest, classes, docs, rank, percent, scratch).select("b")).distinct()
+
+    # Large groups: those still without an earlier match meet all earlier members.
+    big = groups.where("a IS NULL").select("word", "digest", "n", "at", "m1", "m2", "doc", "line")
+    if not big.isEmpty():
+        late = big.join(matched, "digest", "left_anti")
+        x, y = big.alias("x"), late.alias("y")
+        need = F.floor((percent * (F.col("x.n") + F.col("y.n")) + 99 + percent) / (100 + percent))
+        apart = sum(F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in ("m1", "m2"))
+        passes = (
+            (F.col("x.digest") != F.col("y.digest"))
+            & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+            & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
+            & (F.col("x.n") + F.col("y.n") - apart >= 2 * need)
+        )
+        # A row's place may be a later one of its class, so the pairs are put in order by the classes' places.
+        rest = x.join(y, (F.col("x.word") == F.col("y.word")) & passes).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+        rest = scratch.write(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+        matched = matched.union(_in_order(_verified(rest, classes, docs, rank, percent, scratch), classes).select("b")).distinct()
 
     named = classes.join(matched.withColumn("matched", F.lit(True)), "digest", "left").where("matched OR again").select("digest", F.struct("doc", "line").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
     gone = found.select("digest", "doc", "line").join(named, "digest").where(F.col("matched") | (F.struct("doc", "line") > F.col("first")))
