@@ -9,8 +9,8 @@ shares none of the `bands` buckets with probability (1 - s^rows)^bands, below 1.
 Equal sets are one class from the start, by a 128-bit digest. In a bucket every class is first paired with the smallest
 one, and the pairs are confirmed on full sets. Where a bucket's classes then lie in several components, more links are
 looked for between these; pairs within one component can add nothing and are never formed. Classes beside a big
-component are held against all its sets, block by block, through postings of shingles, and give one link at most for each
-block. What is still apart after that, in small components, is paired. So no group of copies, however large, is expanded
+component are held against all its sets and one another, block by block, through postings of shingles, and give as many
+links as connect what all links connect. What is still apart after that, in small components, is paired. So no group of copies, however large, is expanded
 into all its pairs, and no link between components is left out.
 
 Defined results: a document with fewer than k words is the one shingle of all its words; one without words or with a null
@@ -112,49 +112,61 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _linked(members: list[np.ndarray], asking: list[np.ndarray], percent: int) -> list[int]:
-    """For each set asking: a member that it is linked with, or -1. All intersections with it are counted at once."""
+def _forest(members: list[np.ndarray], member_ids: np.ndarray, one: np.ndarray, asking: list[np.ndarray], asking_ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect the sets asking with the members as all their links do; the members flagged in `one` are connected already.
+
+    A set's intersections with all members are counted at once, through postings of the members' shingles."""
     sizes = np.array([len(s) for s in members], np.int64)
     shingles = np.concatenate(members) if members else np.zeros(0, np.uint64)
     order = np.argsort(shingles, kind="stable")
     shingles, owner = shingles[order], np.repeat(np.arange(len(members)), sizes)[order]
+    names, at = np.unique(np.concatenate([member_ids, asking_ids]), return_inverse=True)
+    label = np.arange(len(names))
+    if one.any():
+        label[at[: len(members)][one]] = at[: len(members)][one][0]
     out = []
-    for own in asking:
+    for own, name, me in zip(asking, asking_ids.tolist(), at[len(members) :].tolist()):
         begin, end = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
         n = end - begin
         hits = owner[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         common = np.bincount(hits, minlength=len(members))
         good = np.flatnonzero(100 * common >= percent * (sizes + len(own) - common))
-        out.append(int(good[0]) if len(good) else -1)
+        for other, first in zip(*np.unique(label[at[good]], return_index=True)):
+            if other != label[me]:
+                out.append((name, int(member_ids[good[first]])))
+                label[label == other] = label[me]
     return out
 
 
-def _to_big(named: DataFrame, found: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
-    """Links between big components and the other classes in their buckets: one for each class and block of a component.
-
-    A component's sets are dealt into blocks of bounded size, and so are the classes to be held against them; every
-    class meets every block, so a class without a result has no link with the component."""
+def _attached(named: DataFrame, scratch: Scratch) -> DataFrame:
+    """Which classes share a bucket with which big components (into); of two big ones only the smaller is attached to the other."""
     big = scratch.write(named.where("size IS NOT NULL").select("key", F.col("component").alias("into"), F.col("size").alias("into_size"), F.col("shingles").alias("into_shingles")).distinct(), "big")
-    rank = lambda size, name: F.struct(size, name)
-    attached = named.join(big, "key").where((F.col("component") != F.col("into")) & (F.col("size").isNull() | (rank(F.col("size"), F.col("component")) < rank(F.col("into_size"), F.col("into")))))
-    attached = scratch.write(attached.select("rep", "n", "into", "into_shingles").distinct(), "attached")
-    if attached.isEmpty():
-        return None
+    smaller = F.struct(F.col("size"), F.col("component")) < F.struct(F.col("into_size"), F.col("into"))
+    attached = named.join(big, "key").where((F.col("component") != F.col("into")) & (F.col("size").isNull() | smaller))
+    return scratch.write(attached.select("rep", "n", "into", "into_shingles").distinct(), "attached")
+
+
+def _to_big(attached: DataFrame, found: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links of the classes attached to big components, with these and with one another: as many as connect what they connect.
+
+    The sets of a component and of what is attached to it are dealt into blocks of bounded size, and so are the attached
+    ones once more, to be held against them; each meets every block."""
     blocks = lambda total: F.ceil(total / BLOCK).cast("int")
-    needs = scratch.write(attached.groupBy("into", "into_shingles").agg(F.sum("n").alias("asking")).select("into", blocks(F.col("into_shingles")).alias("parts"), blocks(F.col("asking")).alias("turns")), "needs")
+    needs = attached.groupBy("into", "into_shingles").agg(F.sum("n").alias("asking"))
+    needs = scratch.write(needs.select("into", blocks(F.col("into_shingles") + F.col("asking")).alias("parts"), blocks(F.col("asking")).alias("turns")), "needs")
     dealt = lambda node, count: F.pmod(F.xxhash64(node), count).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    members = found.withColumnRenamed("component", "into").join(needs, "into").select("into", dealt("node", F.col("parts")).alias("part"), "turns", "node").select("into", "part", every(F.col("turns")).alias("turn"), F.col("node").alias("doc_id"))
+    nodes = found.select(F.col("component").alias("into"), "node", F.lit(True).alias("one")).unionByName(attached.select("into", F.col("rep").alias("node"), F.lit(False).alias("one")))
+    members = nodes.join(needs, "into").select("into", dealt("node", F.col("parts")).alias("part"), "turns", "node", "one").select("into", "part", every(F.col("turns")).alias("turn"), F.col("node").alias("doc_id"), "one")
     asking = attached.join(needs, "into").select("into", dealt("rep", F.col("turns")).alias("turn"), "parts", "rep").select("into", every(F.col("parts")).alias("part"), "turn", F.col("rep").alias("doc_id"))
 
     def hold(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         to_sets = lambda frame: [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
-        at = np.array(_linked(to_sets(own), to_sets(others), percent), np.int64)
-        good = at >= 0
-        return pd.DataFrame({"a": others["doc_id"].to_numpy()[good], "b": own["doc_id"].to_numpy()[at[good]]})
+        edges = _forest(to_sets(own), own["doc_id"].to_numpy(), own["one"].to_numpy(bool), to_sets(others), others["doc_id"].to_numpy(), percent)
+        return pd.DataFrame(edges or np.zeros((0, 2), np.int64), columns=["a", "b"])
 
     keys = ["into", "part", "turn"]
-    own = scratch.write(members.join(sets, "doc_id").select(*keys, "doc_id", "shingles"), "members")
+    own = scratch.write(members.join(sets, "doc_id").select(*keys, "doc_id", "one", "shingles"), "members")
     others = scratch.write(asking.join(sets, "doc_id").select(*keys, "doc_id", "shingles"), "asking")
     return scratch.write(own.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(hold, "a long, b long"), "big_links")
 
@@ -191,20 +203,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     named = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     big = found.join(classes.select(F.col("rep").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where(F.col("size") >= BIG)
     named = scratch.write(named.join(big, "component", "left"), "named")
-    big_links = _to_big(named, found, sets, percent, scratch)
-    if big_links is not None:
-        links = links.union(big_links)
+    attached = _attached(named, scratch)
+    if not attached.isEmpty():
+        links = links.union(_to_big(attached, found, sets, percent, scratch))
         found = components(links, scratch)
 
-    # Pairs with a member of a big component are settled; what is left is paired across components.
-    small = named.where("size IS NULL").select("key", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    # Pairs with a member of a big component, or of two attached to the same one, are settled; what is left is paired across components.
+    families = attached.groupBy("rep").agg(F.collect_set("into").alias("families"))
+    small = named.where("size IS NULL").select("key", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").join(families, "rep", "left")
+    small = small.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("families", F.array().cast("array<long>")).alias("families"))
     per = small.groupBy("key", "component").agg(F.count("*").alias("m"))
     largest = per.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     mixed = scratch.write(small.join(largest, "key"), "mixed")
-    outer = mixed.where("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), "main")
-    inner = mixed.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
+    outer = mixed.where("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("families").alias("xf"), "main")
+    inner = mixed.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("families").alias("yf"))
     once = (F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))
-    more = outer.join(inner, "key").where((F.col("xc") != F.col("yc")) & once & fits(F.col("xn"), F.col("yn")))
+    more = outer.join(inner, "key").where((F.col("xc") != F.col("yc")) & once & fits(F.col("xn"), F.col("yn")) & ~F.arrays_overlap("xf", "yf"))
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = more.join(stars, ["a", "b"], "left_anti")
     links = links.union(scratch.write(_confirmed(more, sets, percent), "more"))
