@@ -35,13 +35,15 @@ from .words import Texts, Words, chunks, mix
 
 BUCKETS = 1 << 16
 #: Classes of a word's group whose pairs are all formed at once.
-SMALL = 512
+SMALL = 8_192
 #: From so many occurrences of a word's bucket on, or so many times the mean, its group is dealt over SALTS tasks.
 FREQUENT = 50_000
 TIMES_MEAN = 100
 #: Rows that are gone through at once.
-ROWS = 100_000
+ROWS = 200_000
 SALTS = 16
+_SALT_BIT = 40
+_UNSALTED = ~((SALTS - 1) << _SALT_BIT)
 _LAST = 2**63 - 1
 
 
@@ -141,9 +143,9 @@ def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
     return _ready(docs).mapInArrow(run, "digest long, doc long, line long, n long, m1 long, m2 long, prefix array<long>")
 
 
-_CANDIDATE = "a long, b long, word long, digest long, n long, at long, m1 long, m2 long, doc long, line long"
+_CANDIDATE = "a long, b long, word long, digest long, n long, at long, m1 long, m2 long, doc long"
 _NAMES = [x.split()[0] for x in _CANDIDATE.split(", ")]
-_ROW = ["salt", "word", "digest", "n", "at", "m1", "m2", "doc", "line"]
+_ROW = ["word", "digest", "n", "at", "m1", "m2", "doc"]
 
 
 def _passes(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -156,18 +158,21 @@ def _passes(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent:
 
 
 def _in_groups(percent: int, frequent: int):
-    """Rows sorted by (salt, word, n) -> candidate pairs (a, b), and the rows of large groups."""
+    """Rows sorted by (word, n, digest) -> candidate pairs (a, b), and the rows of large groups."""
 
     def of_groups(rows: dict[str, np.ndarray], hub: dict | None) -> tuple[list[dict[str, np.ndarray]], dict | None]:
         """Output for whole groups, but that the first may continue the large group of `hub` and the last may go on."""
-        word, salt, n = rows["word"], rows["salt"], rows["n"]
+        again = np.zeros(len(rows["word"]), bool)
+        again[1:] = (rows["word"][1:] == rows["word"][:-1]) & (rows["digest"][1:] == rows["digest"][:-1])
+        rows = {k: v[~again] for k, v in rows.items()}
+        word, n = rows["word"], rows["n"]
         new = np.ones(len(word), bool)
-        new[1:] = (word[1:] != word[:-1]) | (salt[1:] != salt[:-1])
+        new[1:] = word[1:] != word[:-1]
         begin = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         size = np.diff(np.append(begin, len(word)))
         large = (size > SMALL) | (word[begin].view(np.uint64) >> np.uint64(48) >= frequent)
-        goes_on = hub is not None and hub["word"][0] == word[0] and hub["salt"][0] == salt[0]
+        goes_on = hub is not None and hub["word"][0] == word[0]
         large[0] |= goes_on
         out = []
         # Within a small group rows are in order of n: once a later row is too long, all after it are.
@@ -182,7 +187,7 @@ def _in_groups(percent: int, frequent: int):
         for g in np.flatnonzero(large):
             own = np.arange(begin[g], begin[g] + size[g])
             if not (g == 0 and goes_on):
-                first = own[np.lexsort((rows["line"][own], rows["doc"][own]))[0]]
+                first = own[rows["doc"][own].argmin()]
                 hub = {k: v[first : first + 1] for k, v in rows.items()}
             both = {k: np.concatenate([hub[k], rows[k][own]]) for k in rows}
             good = np.flatnonzero(_passes(both, np.zeros(len(own), np.int64), np.arange(1, len(own) + 1), percent))
@@ -200,7 +205,7 @@ def _in_groups(percent: int, frequent: int):
             held = []
             if not last:
                 # The last group's end isn't seen yet: it waits, unless it is large already.
-                differs = (rows["word"] != rows["word"][-1]) | (rows["salt"] != rows["salt"][-1])
+                differs = rows["word"] != rows["word"][-1]
                 at = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
                 at = at if len(differs) - at <= SMALL else len(differs)
                 held = [{k: v[at:] for k, v in rows.items()}]
@@ -278,13 +283,12 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     frequent = int(np.searchsorted(counts, max(FREQUENT, TIMES_MEAN * counts.mean())))
     found = scratch.write(_occurrences(docs, rank, percent), "occurrences")
 
-    rows = found.where("prefix IS NOT NULL").select("digest", "doc", "line", "n", "m1", "m2", F.posexplode("prefix").alias("at", "word")).withColumn("at", F.col("at").cast("long"))
+    rows = found.where("prefix IS NOT NULL").select("digest", "doc", "n", "m1", "m2", F.posexplode("prefix").alias("at", "word")).withColumn("at", F.col("at").cast("long"))
     is_frequent = F.shiftrightunsigned("word", 48) >= frequent
-    rows = rows.withColumn("salt", F.when(is_frequent, F.pmod(F.xxhash64("digest"), F.lit(SALTS))).otherwise(0))
-    single = rows.repartition("word", "salt").groupBy("word", "salt", "digest").agg(*[F.min(c).alias(c) for c in ("n", "at", "m1", "m2", "doc", "line")])
-    grouped = single.sortWithinPartitions("salt", "word", "n").select(*_ROW)
-    groups = scratch.write(grouped.mapInArrow(_in_groups(percent, frequent), _CANDIDATE), "groups")
-    del rows, single, grouped
+    salt = F.shiftleft(F.pmod(F.xxhash64("digest"), F.lit(SALTS)), _SALT_BIT)
+    rows = rows.withColumn("word", F.when(is_frequent, F.col("word").bitwiseXOR(salt)).otherwise(F.col("word"))).select(*_ROW)
+    groups = scratch.write(rows.repartition("word").sortWithinPartitions("word", "n", "digest").mapInArrow(_in_groups(percent, frequent), _CANDIDATE), "groups")
+    del rows, is_frequent, salt
     scratch.drop()
 
     place = F.struct("doc", "line")
@@ -295,7 +299,7 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     matched = links.select(F.col("b").alias("digest")).distinct()
 
     # Large groups: those still without an earlier match meet all earlier members.
-    big = groups.where("a IS NULL").select("word", "digest", "n", "at", "m1", "m2", "doc", "line")
+    big = groups.where("a IS NULL").select(F.col("word").bitwiseAND(F.lit(_UNSALTED)).alias("word"), "digest", "n", "at", "m1", "m2")
     if not big.isEmpty():
         late = big.join(matched, "digest", "left_anti")
         x, y = big.alias("x"), late.alias("y")
@@ -307,7 +311,6 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
             & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
             & (F.col("x.n") + F.col("y.n") - apart >= 2 * need)
         )
-        # A row's place may be a later one of its class, so the pairs are put in order by the classes' places.
         rest = x.join(y, (F.col("x.word") == F.col("y.word")) & passes).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
         rest = scratch.write(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
         matched = matched.union(_in_order(_verified(rest, classes, docs, rank, percent, scratch), classes).select("b")).distinct()

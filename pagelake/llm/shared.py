@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,7 @@ class Scratch:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._written)
             path.getFileSystem(conf).delete(path, True)
+        gc.collect()  # Python's references keep the JVM's alive
         jvm.System.gc()
 
 
