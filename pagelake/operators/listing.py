@@ -27,7 +27,8 @@ def link_score(pattern: Column, unique: Column, total: Column, in_main: Column)
 
 
 def overall_score(link: Column, pagination: Column) -> Column:
-    return F.least(link + F.coalesce(F.least(pagination * 0.15, F.lit(0.15)), F.lit(0.0)), F.lit(0.98))
+    boost = F.when(pagination.isNotNull(), F.least(pagination * 0.15, F.lit(0.15))).otherwise(0.0)  # least() passes over null
+    return F.least(link + boost, F.lit(0.98))
 
 
 def link_candidates(facts: DataFrame, top: int = schemas.TOP_CANDIDATES) -> DataFrame:
