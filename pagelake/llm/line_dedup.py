@@ -12,9 +12,9 @@ threshold (length filter), if enough words are left after the shared one on both
 128-bit word maps differ in few enough bits, a bound that is exact too. What passes is verified on the full sets.
 
 Equal sets are one class from the start. Word groups are read in order of line size, so that only lines of fitting sizes
-meet. Up to SMALL classes give all their pairs that pass the filters. Of a large group, or one of a very frequent word,
-which is dealt over several tasks, each class is first paired with an early one; only those still without an earlier
-match are then joined with the whole group. So a template with very many variants isn't expanded into all its pairs, and no pair is left out.
+meet. In groups of up to SMALL classes, each class is first paired with at most FIRST earlier ones that pass the filters;
+in larger ones, or those of a very frequent word, which are dealt over several tasks, with one early one. Where there
+may be more, the classes still without an earlier match are then joined with the whole group. So a template with very many variants isn't expanded into all its pairs, and no pair is left out.
 
 Defined results: a null text stays null. Rows with equal doc_id share their place, so none of them is later than another.
 A null doc_id comes after all others. Extra columns are carried; an empty table gives an empty table.
@@ -34,8 +34,10 @@ from .shared import Scratch, extended, only
 from .words import Texts, Words, chunks, mix
 
 BUCKETS = 1 << 16
-#: Classes of a word's group whose pairs are all formed at once.
-SMALL = 8_192
+#: Classes of a word's group that are held against one another at once.
+SMALL = 2_048
+#: Candidates that a class gets from a group at first; where there may be more, they are looked for once these have failed.
+FIRST = 4
 #: From so many occurrences of a word's bucket on, or so many times the mean, its group is dealt over SALTS tasks.
 FREQUENT = 50_000
 TIMES_MEAN = 100
@@ -176,14 +178,23 @@ def _in_groups(percent: int, frequent: int):
         large[0] |= goes_on
         out = []
         # Within a small group rows are in order of n: once a later row is too long, all after it are.
-        i, lag = np.flatnonzero(~large[group] & (size[group] > 1)), 0
+        doc, digest = rows["doc"], rows["digest"]
+        i, lag, got = np.flatnonzero(~large[group] & (size[group] > 1)), 0, np.zeros(len(word), np.int64)
         end = (begin + size)[group]
         while len(i):
             lag += 1
             i = i[i + lag < end[i]]
             i = i[percent * n[i + lag] <= 100 * n[i]]
-            good = i[_passes(rows, i, i + lag, percent)]
-            out.append({"a": rows["digest"][good], "b": rows["digest"][good + lag]})
+            j = i + lag
+            late = np.where((doc[j] > doc[i]) | (doc[j] == doc[i]) & (digest[j] > digest[i]), j, i)
+            open_ = got[late] < FIRST
+            good = np.flatnonzero(open_)[_passes(rows, i[open_], j[open_], percent)]
+            out.append({"a": digest[i[good]], "b": digest[j[good]]})
+            np.add.at(got, late[good], 1)
+        more = np.zeros(len(size), bool)
+        more[group[got >= FIRST]] = True
+        if more.any():
+            out.append({k: rows[k][more[group]] for k in _NAMES[2:]})
         for g in np.flatnonzero(large):
             own = np.arange(begin[g], begin[g] + size[g])
             if not (g == 0 and goes_on):

@@ -32,6 +32,7 @@ def test_equals_brute_force(spark, monkeypatch, small, frequent, percent):
     monkeypatch.setattr(line_dedup, "SMALL", small)
     monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
     monkeypatch.setattr(line_dedup, "TIMES_MEAN", 0)
+    monkeypatch.setattr(line_dedup, "FIRST", 1 if percent == 60 else 4)
     monkeypatch.setattr(line_dedup, "ROWS", 50 * small)
     rng = random.Random(small * percent)
     vocab = [f"w{int(rng.paretovariate(0.6))}" for _ in range(500)]
