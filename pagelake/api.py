@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .operators import articles, cache, collect, resolve, validate
+from .operators.lineage import checkpoint
 
 
 def positive(name: str, value: int | None) -> int | None:
@@ -57,7 +58,7 @@ def inspect(listings: DataFrame, pages: DataFrame | None = None, entries: DataFr
         resolution = resolution.select("page_id", "final_url", F.lit("given").alias("source"), F.when(F.col("valid"), F.col("spec")).alias("spec"), F.coalesce("valid", F.lit(False)).alias("valid"), "issues", F.col("spec_error").alias("error"))
     else:
         resolution = resolve.resolve(listings, entries, as_of, refresh, provider)
-    resolution = collect.checkpoint(resolution)
+    resolution = checkpoint(resolution)
     preview = collect.collect(_listings(listings, resolution), pages if pages is not None else listings, schemas.PREVIEW_LIMIT, schemas.PREVIEW_ITERATIONS)
     return Inspection(resolution, preview)
 
@@ -82,9 +83,9 @@ def download(listings: DataFrame, pages: DataFrame, entries: DataFrame | None =
         return extract_articles(listings)
     limit = limit or schemas.DEFAULT_LIMIT
     as_of = as_of if as_of is not None else F.current_timestamp()
-    resolution = collect.checkpoint(resolve.resolve(listings, entries if entries is not None else cache.empty(listings.sparkSession), as_of, refresh, provider))
+    resolution = checkpoint(resolve.resolve(listings, entries if entries is not None else cache.empty(listings.sparkSession), as_of, refresh, provider))
     own = _listings(listings, resolution)
-    collection = collect.checkpoint(collect.collect(own, pages, limit, max_iterations))
+    collection = checkpoint(collect.collect(own, pages, limit, max_iterations))
     refs = collection.select("listing_id", F.posexplode("links").alias("pos", "link")).select("listing_id", F.col("pos").cast("long").alias("pos"), "link.url", "link.title_hint")
     refs = refs.join(own.select("listing_id", "spec"), "listing_id")
     found = articles.fetched(refs, pages, least_status)
@@ -92,6 +93,6 @@ def download(listings: DataFrame, pages: DataFrame, entries: DataFrame | None =
     missing = found.where("html IS NULL").select("listing_id", "pos", "url").withColumn("article", F.lit(None).cast(made.schema["article"].dataType))
     alone = listings.join(resolution.where("spec IS NULL").select("page_id"), "page_id").select(F.col("page_id").alias("listing_id"), F.lit(0).cast("long").alias("pos"), F.col("final_url").alias("url"), "final_url", "html")
     fallback = articles.extract(alone, ["listing_id", "pos", "url"])
-    done = collect.checkpoint(articles.outcomes(made.unionByName(missing).unionByName(fallback)))
+    done = checkpoint(articles.outcomes(made.unionByName(missing).unionByName(fallback)))
     files = articles.files(done.where("status = 'saved'"), ["listing_id", "pos"])
     return Download(files, done, articles.summary(done), collection, resolution)

@@ -6,25 +6,14 @@ checkpoint folder, so a lost executor costs a reread. The rules for stopping, in
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schemas
 from ..functions import urls
 from ..sources import pages as sources
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder in spark.checkpoint.dir; on a single machine without one, a temporary folder."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagelake-"))
-    return df.checkpoint()
+from .lineage import checkpoint
 
 
 def next_url(spec: Column, current: Column, next_rel: Column, next_selected: Column) -> Column:
@@ -124,4 +113,4 @@ def moved_on(before: Column, after: Column) -> Column:
     return (F.size(new_hrefs(before, after)) > 0) | (F.size(after) > F.size(before))
 
 
-__all__ = ["checkpoint", "collect", "moved_on", "new_hrefs", "next_url", "page_refs", "settle", "walk"]
+__all__ = ["collect", "moved_on", "new_hrefs", "next_url", "page_refs", "settle", "walk"]

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from .. import schemas
 from ..functions import urls
+from .lineage import checkpoint
 
 
 def page_links(facts: DataFrame) -> DataFrame:
@@ -86,7 +87,8 @@ def pagination_candidates(facts: DataFrame, candidates: DataFrame, top: int = sc
 
 def analyze(facts: DataFrame) -> DataFrame:
     """page_id, spec, confidence, evidence, candidates and error (no repeated links) of each page."""
-    found = link_candidates(facts)
+    facts = checkpoint(facts)  # read several times below, but parsed once
+    found = checkpoint(link_candidates(facts))
     paging = pagination_candidates(facts, found)
     listed = lambda df, cols, name: df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("rank", *cols))).alias(name))
     article_links = listed(found, ["selector", "href_pattern", "count", "score", "container_selector", "evidence", "static"], "article_links")

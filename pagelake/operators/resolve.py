@@ -11,6 +11,7 @@ from .. import schemas
 from ..sources import pages as sources
 from . import cache as caches
 from . import listing, snapshot, specs, validate
+from .lineage import checkpoint
 
 _CANDIDATES = ["article_links", "pagination"]
 
@@ -19,16 +20,16 @@ def resolve(pages: DataFrame, cache: DataFrame, as_of: Column, refresh: bool = F
     """page_id, final_url, source (cache, heuristic, provider or null), spec, valid, confidence, issues, candidates, explanation, error.
 
     Only pages that a stage left open reach the next one."""
-    looked = caches.lookup(pages, cache, as_of, refresh)
+    looked = checkpoint(caches.lookup(pages, cache, as_of, refresh))
     note = F.concat(F.lit("  "), F.col("reason"), F.coalesce(F.concat(F.lit(": "), F.col("message")), F.lit("")))
     trace = F.array_compact(F.array(F.lit("Stage 1: cache"), note, F.when(F.col("reason") == "hit", F.concat(F.lit("  cache key: "), F.col("cache_key"))), F.when(F.col("reason") == "hit", F.concat(F.lit("  validation: "), F.col("unique_url_count").cast("string"), F.lit(" matching URLs")))))
     looked = looked.select("page_id", F.col("spec").alias("cached"), F.col("issues").alias("cache_issues"), trace.alias("trace"))
     rows = pages.select("page_id", "final_url", "html").join(looked, "page_id")
     open_ = rows.where("cached IS NULL").select("page_id", "final_url", "html")
 
-    analyzed = listing.analyze(sources.listing_facts(open_))
+    analyzed = checkpoint(listing.analyze(sources.listing_facts(open_)))
     guessed = open_.join(analyzed.where("spec IS NOT NULL").select("page_id", "spec"), "page_id")
-    checked = validate.validate(guessed)
+    checked = checkpoint(validate.validate(guessed))
     made = analyzed.join(checked, "page_id", "left")
     good = F.coalesce(F.col("valid") & (F.col("confidence") >= least), F.lit(False))
     told = F.when(
@@ -48,6 +49,7 @@ def resolve(pages: DataFrame, cache: DataFrame, as_of: Column, refresh: bool = F
     out = out.withColumns({"source": source, "spec": F.coalesce("cached", "guess"), "issues": F.when(F.col("cached").isNotNull(), F.col("cache_issues")).otherwise(F.col("issues")), "explanation": F.concat("trace", F.coalesce("told", F.array().cast("array<string>")))})
     error = F.when(F.col("spec").isNull(), F.lit("Heuristics could not resolve a validated adapter and --no-llm was set." if provider is None else "LLM configuration required"))
     out = out.withColumn("error", error)
+    out = checkpoint(out)
     if provider is not None:
         asked = ask(out.where("spec IS NULL"), provider, max_retries)
         out = out.join(asked, "page_id", "left").withColumns({
@@ -80,7 +82,7 @@ def ask(rows: DataFrame, provider: Callable[[str], str], max_retries: int = 2) -
         sent = state.withColumn("sent", text)
         replied = per_page(sent, ["page_id", "final_url", "html", "prompt", "trace"], call, "answer STRING", ["sent"])
         # A reply must not be asked for twice, so the stage's result is kept.
-        replied = replied.persist()
+        replied = checkpoint(replied)
         parsed = specs.parse_specs(replied, "answer")
         checked = validate.validate(parsed.where("spec IS NOT NULL").select("page_id", "final_url", "html", "spec"))
         tried = parsed.join(checked, "page_id", "left")
@@ -88,10 +90,12 @@ def ask(rows: DataFrame, provider: Callable[[str], str], max_retries: int = 2) -
         problem = F.when(F.col("spec_error").isNotNull(), F.col("spec_error")).when(~F.col("valid"), told)
         kind = F.when(F.col("spec_error").startswith("response"), "  Parse failed: ").when(F.col("spec_error").isNotNull(), "  Schema failed: ").otherwise("  DOM validation failed: ")
         line = F.when(problem.isNull(), F.concat(F.lit("  Success: "), F.col("unique_url_count").cast("string"), F.lit(" matching article URLs"))).otherwise(F.concat(kind, problem))
-        tried = tried.select("page_id", "final_url", "html", "prompt", F.col("answer").alias("reply"), problem.alias("last_error"), F.concat("trace", F.array(F.lit(f"LLM attempt {attempt + 1}"), line)).alias("trace"), F.col("issues").alias("last_issues"), F.when(problem.isNull(), F.col("spec")).alias("asked_spec"))
+        tried = checkpoint(tried.select("page_id", "final_url", "html", "prompt", F.col("answer").alias("reply"), problem.alias("last_error"), F.concat("trace", F.array(F.lit(f"LLM attempt {attempt + 1}"), line)).alias("trace"), F.col("issues").alias("last_issues"), F.when(problem.isNull(), F.col("spec")).alias("asked_spec")))
         finished = tried.where("asked_spec IS NOT NULL") if attempt < max_retries else tried
         failed = F.concat(F.lit(f"LLM failed to produce a valid AdapterSpec after {max_retries + 1} attempts. Last error: "), F.col("last_error"))
         part = finished.select("page_id", "asked_spec", F.col("trace").alias("asked_trace"), F.when(F.col("asked_spec").isNull(), failed).alias("asked_error"), F.lit(attempt + 1).alias("attempts"))
         done = part if done is None else done.unionByName(part)
         state = tried.where("asked_spec IS NULL").drop("asked_spec")
+        if attempt < max_retries and state.isEmpty():
+            break
     return done

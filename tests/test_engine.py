@@ -12,6 +12,7 @@ from pagelake.dom.kernels import resolve as resolve_url
 from pagelake.dom.parser import parse, serialize
 from pagelake.functions import registry, urls
 from pagelake.operators import articles, cache, collect, listing, resolve, snapshot, specs, validate
+from pagelake.operators.lineage import checkpoint
 from pagelake.sources import pages as sources
 
 LISTING = "<main>" + "".join(f'<article><a href="/posts/{s}"><h2>{s}</h2></a></article>' for s in ("one", "two", "three")) + "<button>Load more</button></main>"
@@ -178,7 +179,7 @@ def test_cascade(spark):
     assert rows[0].source == "heuristic" and rows[0].valid and rows[1].source is None and "--no-llm was set" in rows[1].error
     assert any("heuristics failed" in x for x in rows[1].explanation)
     found = resolve.resolve(pages, cache.empty(spark), F.lit(NOW))
-    entries = cache.save(cache.empty(spark), found, F.lit(NOW))
+    entries = checkpoint(cache.save(cache.empty(spark), found, F.lit(NOW)))
     again = {r.page_id: r for r in resolve.resolve(pages, entries, F.lit(NOW)).collect()}
     assert again[0].source == "cache" and "  cache key: example.com__blog" in again[0].explanation
     fresh = resolve.resolve(pages.where("page_id = 0"), entries, F.lit(NOW), refresh=True).first()
