@@ -145,7 +145,7 @@ def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
     return _ready(docs).mapInArrow(run, "digest long, doc long, line long, n long, m1 long, m2 long, prefix array<long>")
 
 
-_CANDIDATE = "a long, b long, word long, digest long, n long, at long, m1 long, m2 long, doc long"
+_CANDIDATE = "a long, b long, word long, digest long, n long, at long, m1 long, m2 long, more long"
 _NAMES = [x.split()[0] for x in _CANDIDATE.split(", ")]
 _ROW = ["word", "digest", "n", "at", "m1", "m2", "doc"]
 
@@ -180,21 +180,24 @@ def _in_groups(percent: int, frequent: int):
         # Within a small group rows are in order of n: once a later row is too long, all after it are.
         doc, digest = rows["doc"], rows["digest"]
         i, lag, got = np.flatnonzero(~large[group] & (size[group] > 1)), 0, np.zeros(len(word), np.int64)
+        more = np.zeros(len(word), bool)
         end = (begin + size)[group]
         while len(i):
             lag += 1
             i = i[i + lag < end[i]]
             i = i[percent * n[i + lag] <= 100 * n[i]]
-            j = i + lag
-            late = np.where((doc[j] > doc[i]) | (doc[j] == doc[i]) & (digest[j] > digest[i]), j, i)
+            x = i[_passes(rows, i, i + lag, percent)]
+            y = x + lag
+            late = np.where((doc[y] > doc[x]) | (doc[y] == doc[x]) & (digest[y] > digest[x]), y, x)
             open_ = got[late] < FIRST
-            good = np.flatnonzero(open_)[_passes(rows, i[open_], j[open_], percent)]
-            out.append({"a": digest[i[good]], "b": digest[j[good]]})
-            np.add.at(got, late[good], 1)
-        more = np.zeros(len(size), bool)
-        more[group[got >= FIRST]] = True
-        if more.any():
-            out.append({k: rows[k][more[group]] for k in _NAMES[2:]})
+            out.append({"a": digest[x[open_]], "b": digest[y[open_]]})
+            np.add.at(got, late[open_], 1)
+            # Which of two classes is the later one is certain only once all their places are known, so both are looked at again.
+            more[x[~open_]] = more[y[~open_]] = True
+        wide = np.zeros(len(size), bool)
+        wide[group[more]] = True
+        if wide.any():
+            out.append({k: rows[k][wide[group]] for k in _NAMES[2:-1]} | {"more": more[wide[group]].astype(np.int64)})
         for g in np.flatnonzero(large):
             own = np.arange(begin[g], begin[g] + size[g])
             if not (g == 0 and goes_on):
@@ -203,7 +206,7 @@ def _in_groups(percent: int, frequent: int):
             both = {k: np.concatenate([hub[k], rows[k][own]]) for k in rows}
             good = np.flatnonzero(_passes(both, np.zeros(len(own), np.int64), np.arange(1, len(own) + 1), percent))
             out.append({"a": np.repeat(hub["digest"], len(good)), "b": rows["digest"][own[good]]})
-            out.append({k: rows[k][own] for k in _NAMES[2:]})
+            out.append({k: rows[k][own] for k in _NAMES[2:-1]} | {"more": np.ones(len(own), np.int64)})
         return out, hub if large[-1] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +303,7 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = rows.withColumn("word", F.when(is_frequent, F.col("word").bitwiseXOR(salt)).otherwise(F.col("word"))).select(*_ROW)
     groups = scratch.write(rows.repartition("word").sortWithinPartitions("word", "n", "digest").mapInArrow(_in_groups(percent, frequent), _CANDIDATE), "groups")
     del rows, is_frequent, salt
-    scratch.drop()
+    scratch.release()
 
     place = F.struct("doc", "line")
     classes = found.groupBy("digest").agg(F.min(place).alias("p"), (F.min(place) != F.max(place)).alias("again"))
@@ -310,9 +313,9 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     matched = links.select(F.col("b").alias("digest")).distinct()
 
     # Large groups: those still without an earlier match meet all earlier members.
-    big = groups.where("a IS NULL").select(F.col("word").bitwiseAND(F.lit(_UNSALTED)).alias("word"), "digest", "n", "at", "m1", "m2")
-    if not big.isEmpty():
-        late = big.join(matched, "digest", "left_anti")
+    big = groups.where("a IS NULL").select(F.col("word").bitwiseAND(F.lit(_UNSALTED)).alias("word"), "digest", "n", "at", "m1", "m2", "more")
+    if not big.where("more = 1").isEmpty():
+        late = big.where("more = 1").join(matched, "digest", "left_anti")
         x, y = big.alias("x"), late.alias("y")
         need = F.floor((percent * (F.col("x.n") + F.col("y.n")) + 99 + percent) / (100 + percent))
         apart = sum(F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in ("m1", "m2"))

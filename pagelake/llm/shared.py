@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +40,21 @@ class Scratch:
         return read
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that no later plan reads, and lets Spark delete the shuffle files of plans that are gone."""
+        """Deletes tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._written)
             path.getFileSystem(conf).delete(path, True)
-        gc.collect()  # Python's references keep the JVM's alive
-        jvm.System.gc()
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to: neither Python nor an event still on its way."""
+        gc.collect()
+        with contextlib.suppress(Exception):
+            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        for _ in range(2):
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
