@@ -133,6 +133,7 @@ def check_packing(rows, texts, capacity, path):
 def test_packing_round_trip(spark, docs, monkeypatch, block):
     path = public_tokenizers.path("word_bpe_49k.json")
     monkeypatch.setattr(packing, "FAN_IN", 8)
+    monkeypatch.setattr(packing, "BLOCK", block)
     random.seed(9)
     texts = AWKWARD + ["".join(random.choice(["Ab", "cd.", "'S", "É", " ", "\n", "12", "<|startoftext|>", "<|ENDOFTEXT|>", "é"]) for _ in range(random.randint(0, 90))) for _ in range(200)]
     df = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], DOCS).repartition(5)
