@@ -66,7 +66,8 @@ def inspect(listings: DataFrame, pages: DataFrame | None = None, entries: DataFr
 def extract_articles(pages: DataFrame) -> Download:
     """Each page as an article by itself, without a listing."""
     made = articles.extract(pages.select("page_id", "final_url", "html", F.col("final_url").alias("url")), ["page_id", "url"])
-    done = articles.outcomes(made).withColumn("pos", F.col("page_id"))
+    # Names need all titles before the first file; the pages are parsed once for both.
+    done = checkpoint(articles.outcomes(made).withColumn("pos", F.col("page_id")))
     files = articles.files(done.where("status = 'saved'"), ["page_id"])
     return Download(files, done, articles.summary(done))
 

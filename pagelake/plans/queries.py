@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .. import api, schemas
 from ..functions import urls
 from ..operators import articles, cache, collect, listing, snapshot, validate
+from ..operators.lineage import checkpoint
 from ..sources import pages as sources
 
 AS_OF = "2026-06-01 00:00:00"
@@ -183,7 +184,7 @@ def article_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filename_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _titled(spark, sf_dir).select("page_id", articles.file_base(F.col("article.title")).alias("base"))
+    rows = checkpoint(_titled(spark, sf_dir).select("page_id", articles.file_base(F.col("article.title")).alias("base")))
     return articles.unique_names(rows, ["page_id"]).select("page_id", "filename")
 
 
