@@ -42,7 +42,7 @@ FIRST = 4
 FREQUENT = 50_000
 TIMES_MEAN = 100
 #: Rows that are gone through at once.
-ROWS = 200_000
+ROWS = 100_000
 SALTS = 16
 _SALT_BIT = 40
 _UNSALTED = ~((SALTS - 1) << _SALT_BIT)
@@ -129,8 +129,10 @@ def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
             for part in chunks(batch, "text"):
                 lines = Lines(part["text"], rank)
                 digest = lines.digests()
+                doc = part["doc"].to_numpy()[lines.text]
+                order = np.lexsort((lines.number, doc, digest))
                 first = np.zeros(lines.n, bool)
-                first[np.unique(digest, return_index=True)[1]] = True
+                first[order] = np.diff(digest[order], prepend=~digest[order][:1]) != 0
                 n = lines.sizes
                 # Lines of up to three words have no similar line but equal ones unless the threshold is low.
                 alone = (_least(n, percent) == n) & (100 * n < percent * (n + 1))
@@ -138,16 +140,15 @@ def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
                 shift = np.repeat(lines.begin - (np.cumsum(size) - size), size)
                 prefix = lines.keys[shift + np.arange(len(shift))].view(np.int64)
                 ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-                doc = part["doc"].to_numpy()[lines.text]
                 listed = pa.ListArray.from_arrays(ends, pa.array(prefix, pa.int64()), mask=pa.array(size == 0))
                 yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc), pa.array(lines.number), pa.array(n), *map(pa.array, lines.maps()), listed], ["digest", "doc", "line", "n", "m1", "m2", "prefix"])
 
     return _ready(docs).mapInArrow(run, "digest long, doc long, line long, n long, m1 long, m2 long, prefix array<long>")
 
 
-_CANDIDATE = "a long, b long, word long, digest long, n long, at long, m1 long, m2 long, more long"
+_CANDIDATE = "a long, b long, word long, digest long, n long, at long, m1 long, m2 long, doc long, line long, more long"
 _NAMES = [x.split()[0] for x in _CANDIDATE.split(", ")]
-_ROW = ["word", "digest", "n", "at", "m1", "m2", "doc"]
+_ROW = ["word", "digest", "n", "at", "m1", "m2", "doc", "line"]
 
 
 def _passes(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -160,7 +161,10 @@ def _passes(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent:
 
 
 def _in_groups(percent: int, frequent: int):
-    """Rows sorted by (word, n, digest) -> candidate pairs (a, b), and the rows of large groups."""
+    """Rows sorted by (word, n, digest, doc, line) -> candidate pairs (a before b in the corpus), and the rows of large groups."""
+
+    def before(doc, line, other_doc, other_line):
+        return (doc < other_doc) | (doc == other_doc) & (line < other_line)
 
     def of_groups(rows: dict[str, np.ndarray], hub: dict | None) -> tuple[list[dict[str, np.ndarray]], dict | None]:
         """Output for whole groups, but that the first may continue the large group of `hub` and the last may go on."""
@@ -178,7 +182,7 @@ def _in_groups(percent: int, frequent: int):
         large[0] |= goes_on
         out = []
         # Within a small group rows are in order of n: once a later row is too long, all after it are.
-        doc, digest = rows["doc"], rows["digest"]
+        doc, line, digest = rows["doc"], rows["line"], rows["digest"]
         i, lag, got = np.flatnonzero(~large[group] & (size[group] > 1)), 0, np.zeros(len(word), np.int64)
         more = np.zeros(len(word), bool)
         end = (begin + size)[group]
@@ -188,12 +192,14 @@ def _in_groups(percent: int, frequent: int):
             i = i[percent * n[i + lag] <= 100 * n[i]]
             x = i[_passes(rows, i, i + lag, percent)]
             y = x + lag
-            late = np.where((doc[y] > doc[x]) | (doc[y] == doc[x]) & (digest[y] > digest[x]), y, x)
-            open_ = got[late] < FIRST
+            later = before(doc[x], line[x], doc[y], line[y])
+            x, y = np.where(later, x, y), np.where(later, y, x)
+            sure = before(doc[x], line[x], doc[y], line[y])  # else both have the same place
+            x, y = x[sure], y[sure]
+            open_ = got[y] < FIRST
             out.append({"a": digest[x[open_]], "b": digest[y[open_]]})
-            np.add.at(got, late[open_], 1)
-            # Which of two classes is the later one is certain only once all their places are known, so both are looked at again.
-            more[x[~open_]] = more[y[~open_]] = True
+            np.add.at(got, y[open_], 1)
+            more[y[~open_]] = True
         wide = np.zeros(len(size), bool)
         wide[group[more]] = True
         if wide.any():
@@ -201,11 +207,14 @@ def _in_groups(percent: int, frequent: int):
         for g in np.flatnonzero(large):
             own = np.arange(begin[g], begin[g] + size[g])
             if not (g == 0 and goes_on):
-                first = own[rows["doc"][own].argmin()]
+                first = own[np.lexsort((line[own], doc[own]))[0]]
                 hub = {k: v[first : first + 1] for k, v in rows.items()}
             both = {k: np.concatenate([hub[k], rows[k][own]]) for k in rows}
-            good = np.flatnonzero(_passes(both, np.zeros(len(own), np.int64), np.arange(1, len(own) + 1), percent))
-            out.append({"a": np.repeat(hub["digest"], len(good)), "b": rows["digest"][own[good]]})
+            good = own[_passes(both, np.zeros(len(own), np.int64), np.arange(1, len(own) + 1), percent)]
+            for late, a, b in ((before(hub["doc"][0], hub["line"][0], doc[good], line[good]), None, good), (before(doc[good], line[good], hub["doc"][0], hub["line"][0]), good, None)):
+                pick = good[late]
+                fixed = np.repeat(hub["digest"], len(pick))
+                out.append({"a": fixed if a is None else digest[pick], "b": fixed if b is None else digest[pick]})
             out.append({k: rows[k][own] for k in _NAMES[2:-1]} | {"more": np.ones(len(own), np.int64)})
         return out, hub if large[-1] else None
 
@@ -221,15 +230,19 @@ def _in_groups(percent: int, frequent: int):
                 # The last group's end isn't seen yet: it waits, unless it is large already.
                 differs = rows["word"] != rows["word"][-1]
                 at = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-                at = at if len(differs) - at <= SMALL else len(differs)
-                held = [{k: v[at:] for k, v in rows.items()}]
+                keep = slice(at, None)
+                if len(differs) - at > SMALL:
+                    # Of the last class, the first place counts: it waits alone, in case that more of its rows follow.
+                    differs |= rows["digest"] != rows["digest"][-1]
+                    at = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+                    keep = slice(at, at + 1)
+                held = [{k: v[keep] for k, v in rows.items()}]
                 rows = {k: v[:at] for k, v in rows.items()}
             if not len(rows["word"]):
                 return
             out, hub = of_groups(rows, hub)
             pairs = {k: np.concatenate([x[k] for x in out if "a" in x] or [np.zeros(0, np.int64)]) for k in ("a", "b")}
-            least, most = np.minimum(pairs["a"], pairs["b"]), np.maximum(pairs["a"], pairs["b"])
-            single = pd.MultiIndex.from_arrays([least, most]).drop_duplicates() if len(least) else None
+            single = pd.MultiIndex.from_arrays([pairs["a"], pairs["b"]]).drop_duplicates() if len(pairs["a"]) else None
             if single is not None:
                 out = [{"a": single.get_level_values(0).to_numpy(), "b": single.get_level_values(1).to_numpy()}, *[x for x in out if "a" not in x]]
             for x in out if single is not None else [x for x in out if "a" not in x]:
@@ -282,14 +295,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.nd
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _in_order(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """The links (a, b) with the class that comes first in the corpus as a; those that share their first place have no order."""
-    place = lambda name: classes.select(F.col("digest").alias(name), F.struct("doc", "line").alias(f"{name}_at"))
-    placed = links.join(place("a"), "a").join(place("b"), "b").where("a_at <> b_at")
-    first = F.col("a_at") < F.col("b_at")
-    return placed.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
-
-
 def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs(doc_id, text) -> doc, lines: the numbers (from 0) of the lines of each document that go."""
     scratch = Scratch(docs.sparkSession, "lines")
@@ -297,11 +302,11 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     frequent = int(np.searchsorted(counts, max(FREQUENT, TIMES_MEAN * counts.mean())))
     found = scratch.write(_occurrences(docs, rank, percent), "occurrences")
 
-    rows = found.where("prefix IS NOT NULL").select("digest", "doc", "n", "m1", "m2", F.posexplode("prefix").alias("at", "word")).withColumn("at", F.col("at").cast("long"))
+    rows = found.where("prefix IS NOT NULL").select("digest", "doc", "line", "n", "m1", "m2", F.posexplode("prefix").alias("at", "word")).withColumn("at", F.col("at").cast("long"))
     is_frequent = F.shiftrightunsigned("word", 48) >= frequent
     salt = F.shiftleft(F.pmod(F.xxhash64("digest"), F.lit(SALTS)), _SALT_BIT)
     rows = rows.withColumn("word", F.when(is_frequent, F.col("word").bitwiseXOR(salt)).otherwise(F.col("word"))).select(*_ROW)
-    groups = scratch.write(rows.repartition("word").sortWithinPartitions("word", "n", "digest").mapInArrow(_in_groups(percent, frequent), _CANDIDATE), "groups")
+    groups = scratch.write(rows.repartition("word").sortWithinPartitions("word", "n", "digest", "doc", "line").mapInArrow(_in_groups(percent, frequent), _CANDIDATE), "groups")
     del rows, is_frequent, salt
     scratch.release()
 
@@ -309,25 +314,25 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = found.groupBy("digest").agg(F.min(place).alias("p"), (F.min(place) != F.max(place)).alias("again"))
     classes = scratch.write(classes.select("digest", "p.doc", "p.line", "again"), "classes")
     pairs = groups.where("a IS NOT NULL").select("a", "b").distinct()
-    links = scratch.write(_in_order(_verified(pairs, classes, docs, rank, percent, scratch), classes), "links")
+    links = scratch.write(_verified(pairs, classes, docs, rank, percent, scratch), "links")
     matched = links.select(F.col("b").alias("digest")).distinct()
 
     # Large groups: those still without an earlier match meet all earlier members.
-    big = groups.where("a IS NULL").select(F.col("word").bitwiseAND(F.lit(_UNSALTED)).alias("word"), "digest", "n", "at", "m1", "m2", "more")
+    big = groups.where("a IS NULL").select(F.col("word").bitwiseAND(F.lit(_UNSALTED)).alias("word"), "digest", "n", "at", "m1", "m2", "doc", "line", "more")
     if not big.where("more = 1").isEmpty():
         late = big.where("more = 1").join(matched, "digest", "left_anti")
         x, y = big.alias("x"), late.alias("y")
         need = F.floor((percent * (F.col("x.n") + F.col("y.n")) + 99 + percent) / (100 + percent))
         apart = sum(F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in ("m1", "m2"))
         passes = (
-            (F.col("x.digest") != F.col("y.digest"))
+            (F.struct("x.doc", "x.line") < F.struct("y.doc", "y.line"))
             & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
             & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
             & (F.col("x.n") + F.col("y.n") - apart >= 2 * need)
         )
-        rest = x.join(y, (F.col("x.word") == F.col("y.word")) & passes).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+        rest = x.join(y, (F.col("x.word") == F.col("y.word")) & passes).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
         rest = scratch.write(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-        matched = matched.union(_in_order(_verified(rest, classes, docs, rank, percent, scratch), classes).select("b")).distinct()
+        matched = matched.union(_verified(rest, classes, docs, rank, percent, scratch).select("b")).distinct()
 
     named = classes.join(matched.withColumn("matched", F.lit(True)), "digest", "left").where("matched OR again").select("digest", F.struct("doc", "line").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
     gone = found.select("digest", "doc", "line").join(named, "digest").where(F.col("matched") | (F.struct("doc", "line") > F.col("first")))
