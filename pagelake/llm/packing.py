@@ -68,7 +68,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.mark = self._encode(self.SEPARATOR)
-        self.memo = Memo(self._many, 400_000)
+        self.memo = Memo(self._many, 250_000)
 
     def _encode(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids

@@ -175,7 +175,10 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 class Memo:
     """What `make` gives for each distinct string as bytes, kept for the strings seen lately.
 
-    Two generations of at most `size` strings each bound the memory; the answers never depend on what is kept."""
+    Two generations of at most `size` strings each bound the memory, and a worker that goes on to another memo empties
+    the one before; the answers never depend on what is kept."""
+
+    _last: Memo | None = None
 
     def __init__(self, make: Callable[[list[str]], list[bytes]], size: int = 150_000):
         self.make, self.size = make, size
@@ -183,6 +186,10 @@ class Memo:
         self.old: dict[str, bytes] = {}
 
     def __call__(self, strings: list[str]) -> list[bytes]:
+        if Memo._last is not self:
+            if Memo._last is not None:
+                Memo._last.young, Memo._last.old = {}, {}
+            Memo._last = self
         young, old = self.young, self.old
         found = [young.get(s) for s in strings]
         missing = [i for i, x in enumerate(found) if x is None]
