@@ -87,6 +87,19 @@ def test_fertility_counts_and_measures(spark, docs):
     assert not rows[6].kept and fertility.quality(df, public_tokenizers.path("piece_bpe_32k.model"), df.columns, drop=True).columns == df.columns
 
 
+def test_fertility_bands_reject_junk_that_passes_the_base_rules(spark):
+    rng = random.Random(4)
+    vocab = [f"{rng.choice('abcdefgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice(['', 'ing', 'er', 'al'])}" for _ in range(400)]
+    texts = []
+    for _ in range(20):
+        words = [rng.choice(vocab) for _ in range(200)]
+        texts += [" ".join(words), " ".join(w + "".join(rng.choice("#$%&*") for _ in range(3)) for w in words)]
+    df = spark.createDataFrame([(i, t, lang, "s", i) for i, t in enumerate(texts) for lang in ("en", "de", "fr", "es", None)], DOCS)
+    rows = fertility.quality(df, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id", "lang"]).collect()
+    assert all(r.kept for r in rows if r.doc_id % 2 == 0)
+    assert not any(r.base_failed or r.kept for r in rows if r.doc_id % 2)
+
+
 def test_prefix_counts_equal_the_library(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(path), token_counts.counter(path)
