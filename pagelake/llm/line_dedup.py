@@ -166,11 +166,8 @@ def _in_groups(percent: int, frequent: int):
     def before(doc, line, other_doc, other_line):
         return (doc < other_doc) | (doc == other_doc) & (line < other_line)
 
-    def of_groups(rows: dict[str, np.ndarray], hub: dict | None) -> tuple[list[dict[str, np.ndarray]], dict | None]:
-        """Output for whole groups, but that the first may continue the large group of `hub` and the last may go on."""
-        again = np.zeros(len(rows["word"]), bool)
-        again[1:] = (rows["word"][1:] == rows["word"][:-1]) & (rows["digest"][1:] == rows["digest"][:-1])
-        rows = {k: v[~again] for k, v in rows.items()}
+    def of_groups(rows: dict[str, np.ndarray], hub: dict | None, goes_further: bool) -> tuple[list[dict[str, np.ndarray]], dict | None]:
+        """Output for whole groups of one row a class, but that the first may continue the large group of `hub`, and the last is large and goes on if it `goes_further`."""
         word, n = rows["word"], rows["n"]
         new = np.ones(len(word), bool)
         new[1:] = word[1:] != word[:-1]
@@ -180,6 +177,7 @@ def _in_groups(percent: int, frequent: int):
         large = (size > SMALL) | (word[begin].view(np.uint64) >> np.uint64(48) >= frequent)
         goes_on = hub is not None and hub["word"][0] == word[0]
         large[0] |= goes_on
+        large[-1] |= goes_further
         out = []
         # Within a small group rows are in order of n: once a later row is too long, all after it are.
         doc, line, digest = rows["doc"], rows["line"], rows["digest"]
@@ -225,22 +223,23 @@ def _in_groups(percent: int, frequent: int):
         def settle(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, hub
             rows = {k: np.concatenate([h[k] for h in held]) for k in _ROW}
-            held = []
+            # A class counts once in a group, by its first place; so the group's size is that of its classes.
+            again = np.zeros(len(rows["word"]), bool)
+            again[1:] = (rows["word"][1:] == rows["word"][:-1]) & (rows["digest"][1:] == rows["digest"][:-1])
+            rows = {k: v[~again] for k, v in rows.items()}
+            held, goes_further = [], False
             if not last:
                 # The last group's end isn't seen yet: it waits, unless it is large already.
                 differs = rows["word"] != rows["word"][-1]
                 at = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-                keep = slice(at, None)
                 if len(differs) - at > SMALL:
-                    # Of the last class, the first place counts: it waits alone, in case that more of its rows follow.
-                    differs |= rows["digest"] != rows["digest"][-1]
-                    at = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-                    keep = slice(at, at + 1)
-                held = [{k: v[keep] for k, v in rows.items()}]
+                    # The last class waits alone, in case that more of its rows follow.
+                    at, goes_further = len(differs) - 1, True
+                held = [{k: v[at:] for k, v in rows.items()}]
                 rows = {k: v[:at] for k, v in rows.items()}
             if not len(rows["word"]):
                 return
-            out, hub = of_groups(rows, hub)
+            out, hub = of_groups(rows, hub, goes_further)
             pairs = {k: np.concatenate([x[k] for x in out if "a" in x] or [np.zeros(0, np.int64)]) for k in ("a", "b")}
             single = pd.MultiIndex.from_arrays([pairs["a"], pairs["b"]]).drop_duplicates() if len(pairs["a"]) else None
             if single is not None:

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagelake.llm import line_dedup
@@ -71,3 +73,21 @@ def test_odd_rows(spark):
     got = sorted((str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(df).collect())
     assert got == [("3", "a b c", 1, 0), ("3", "a b c", 1, 0), ("5", "q", 2, 1), ("None", "", 1, 1)]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("classes,copies", [(3, 10), (5, 7), (8, 4), (9, 1), (9, 3), (10, 1), (30, 5)])
+def test_groups_across_settle_boundaries(monkeypatch, classes, copies):
+    """Classes that recur in many batches: every pair of a word group is a candidate or left to the join of large groups."""
+    monkeypatch.setattr(line_dedup, "SMALL", 8)
+    monkeypatch.setattr(line_dedup, "ROWS", 10)
+    rows = [(word, 10, word * 1000 + k, doc) for word in (5, 6) for k in range(classes) for doc in range(k, k + 100 * copies, 100)]
+    batches = []
+    for at in range(0, len(rows), 5):
+        word, n, digest, doc = map(np.array, zip(*rows[at : at + 5]))
+        zero = np.zeros(len(word), np.int64)
+        batches.append(pa.RecordBatch.from_pydict({"word": word, "digest": digest, "n": n, "at": zero, "m1": zero, "m2": zero, "doc": doc, "line": zero}))
+    out = [r for b in line_dedup._in_groups(80, 1 << 16)(iter(batches)) for r in b.to_pylist()]
+    pairs = {(r["a"], r["b"]) for r in out if r["a"] is not None}
+    for word in (5, 6):
+        big = {r["digest"]: r["more"] for r in out if r["a"] is None and r["word"] == word}
+        assert all((a, b) in pairs or a in big and big.get(b) for b in range(word * 1000, word * 1000 + classes) for a in range(word * 1000, b))
