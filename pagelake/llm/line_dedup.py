@@ -16,8 +16,9 @@ meet. In groups of up to SMALL classes, each class is first paired with at most
 in larger ones, or those of a very frequent word, which are dealt over several tasks, with one early one. Where there
 may be more, the classes still without an earlier match are then joined with the whole group. So a template with very many variants isn't expanded into all its pairs, and no pair is left out.
 
-Defined results: a null text stays null. Rows with equal doc_id share their place, so none of them is later than another.
-A null doc_id comes after all others. Extra columns are carried; an empty table gives an empty table.
+Defined results: a null text stays null. Rows with equal doc_id share their place, so that of their lines only one with a
+higher number is later than another; their texts are told apart by a digest, and each loses its own lines alone. A null
+doc_id comes after all others. Extra columns are carried; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -93,7 +94,12 @@ class Lines:
 
 
 def _ready(docs: DataFrame) -> DataFrame:
-    return only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+    return only(docs, "doc_id", "text").select(*_row_of("doc_id", "text"), "text")
+
+
+def _row_of(doc_id: str, text: str) -> tuple[F.Column, F.Column]:
+    """What tells rows apart, but for those of equal doc_id and text: the id and a digest of the text."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("own")
 
 
 def rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -141,9 +147,9 @@ def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
                 prefix = lines.keys[shift + np.arange(len(shift))].view(np.int64)
                 ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
                 listed = pa.ListArray.from_arrays(ends, pa.array(prefix, pa.int64()), mask=pa.array(size == 0))
-                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc), pa.array(lines.number), pa.array(n), *map(pa.array, lines.maps()), listed], ["digest", "doc", "line", "n", "m1", "m2", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc), pa.array(part["own"].to_numpy()[lines.text]), pa.array(lines.number), pa.array(n), *map(pa.array, lines.maps()), listed], ["digest", "doc", "own", "line", "n", "m1", "m2", "prefix"])
 
-    return _ready(docs).mapInArrow(run, "digest long, doc long, line long, n long, m1 long, m2 long, prefix array<long>")
+    return _ready(docs).mapInArrow(run, "digest long, doc long, own long, line long, n long, m1 long, m2 long, prefix array<long>")
 
 
 _CANDIDATE = "a long, b long, word long, digest long, n long, at long, m1 long, m2 long, doc long, line long, more long"
@@ -265,7 +271,7 @@ def _in_groups(percent: int, frequent: int):
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of digests whose sets are similar."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    places = classes.select("digest", "doc", "line").join(needed, "digest").groupBy("doc").agg(F.collect_list(F.struct("line", "digest")).alias("wanted"))
+    places = classes.select("digest", "doc", "own", "line").join(needed, "digest").groupBy("doc", "own").agg(F.collect_list(F.struct("line", "digest")).alias("wanted"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +285,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.nd
                         sets.append(lines.set_of(i).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(sets, pa.binary())], ["digest", "words"])
 
-    sets = scratch.write(_ready(docs).join(places, "doc").select("text", "wanted").mapInArrow(to_sets, "digest long, words binary"), "sets").dropDuplicates(["digest"])
+    sets = scratch.write(_ready(docs).join(places, ["doc", "own"]).select("text", "wanted").mapInArrow(to_sets, "digest long, words binary"), "sets").dropDuplicates(["digest"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,7 +301,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.nd
 
 
 def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs(doc_id, text) -> doc, lines: the numbers (from 0) of the lines of each document that go."""
+    """docs(doc_id, text) -> doc, own, lines: the numbers (from 0) of the lines of each document, by id and digest of its text, that go."""
     scratch = Scratch(docs.sparkSession, "lines")
     rank, counts = rarity(docs)
     frequent = int(np.searchsorted(counts, max(FREQUENT, TIMES_MEAN * counts.mean())))
@@ -309,9 +315,9 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     del rows, is_frequent, salt
     scratch.release()
 
-    place = F.struct("doc", "line")
-    classes = found.groupBy("digest").agg(F.min(place).alias("p"), (F.min(place) != F.max(place)).alias("again"))
-    classes = scratch.write(classes.select("digest", "p.doc", "p.line", "again"), "classes")
+    place = F.struct("doc", "line", "own")
+    classes = found.groupBy("digest").agg(F.min(place).alias("p"), F.max(place).alias("q"))
+    classes = scratch.write(classes.select("digest", "p.doc", "p.own", "p.line", (F.struct("p.doc", "p.line") != F.struct("q.doc", "q.line")).alias("again")), "classes")
     pairs = groups.where("a IS NOT NULL").select("a", "b").distinct()
     links = scratch.write(_verified(pairs, classes, docs, rank, percent, scratch), "links")
     matched = links.select(F.col("b").alias("digest")).distinct()
@@ -334,8 +340,8 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
         matched = matched.union(_verified(rest, classes, docs, rank, percent, scratch).select("b")).distinct()
 
     named = classes.join(matched.withColumn("matched", F.lit(True)), "digest", "left").where("matched OR again").select("digest", F.struct("doc", "line").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    gone = found.select("digest", "doc", "line").join(named, "digest").where(F.col("matched") | (F.struct("doc", "line") > F.col("first")))
-    return scratch.write(gone.groupBy("doc").agg(F.collect_set("line").alias("lines")), "gone")
+    gone = found.select("digest", "doc", "own", "line").join(named, "digest").where(F.col("matched") | (F.struct("doc", "line") > F.col("first")))
+    return scratch.write(gone.groupBy("doc", "own").agg(F.collect_set("line").alias("lines")), "gone")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -343,7 +349,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     text, doc = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
     gone = later_matches(docs, percent)
-    joined = docs.toDF(*names).join(gone, F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)) == F.col("doc"), "left")
+    row_doc, row_own = _row_of(doc, text)
+    joined = docs.toDF(*names).join(gone, (row_doc == F.col("doc")) & (row_own == F.col("own")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

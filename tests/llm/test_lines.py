@@ -91,3 +91,26 @@ def test_groups_across_settle_boundaries(monkeypatch, classes, copies):
     for word in (5, 6):
         big = {r["digest"]: r["more"] for r in out if r["a"] is None and r["word"] == word}
         assert all((a, b) in pairs or a in big and big.get(b) for b in range(word * 1000, word * 1000 + classes) for a in range(word * 1000, b))
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_null_and_repeated_ids_with_different_texts(spark, percent):
+    rng = random.Random(percent)
+    pool = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(4, 25))) for _ in range(40)]
+
+    def line():
+        w = rng.choice(pool).split()
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(9999)}"
+        return " ".join(w) if rng.random() < 0.7 else f"u{rng.random()} a b c d e f g"
+
+    rows = [(1, "x y z v w"), (None, "a b c\nx y z v w"), (None, "d e f\ng h i j k"), (None, None), (2, "p q r s\nx y z v w"), (2, "t u\nk l m n o")]
+    rows += [(rng.choice([None, 3, 4, 5, 6]), "\n".join(line() for _ in range(rng.randint(1, 8)))) for _ in range(80)]
+    seen = [(9 if d is None else d, i, s) for d, t in rows for i, s in enumerate(sets_of(t)) if s]
+    want = []
+    for d, t in rows:
+        gone = {i for i, s in enumerate(sets_of(t)) if s and any((e, j) < (9 if d is None else d, i) and 100 * len(s & o) >= percent * len(s | o) for e, j, o in seen)}
+        want.append((d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone), len(gone)))
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent).collect()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text, r.n_removed)) for r in out)
+    assert (None, "d e f\ng h i j k", 0) in want and (2, "t u\nk l m n o", 0) in want
