@@ -25,17 +25,21 @@ from .shared import extended, only
 
 @dataclass(frozen=True)
 class Rule:
-    """A glob (`*` any run, `?` one byte, `\\` quotes) over the canonical URL `.host/path`, its label and verdict. The longest label that fits wins."""
+    """A glob (`*` any run, `?` one byte, `\\` quotes) over the canonical URL, its label and verdict. The longest label that fits wins.
+
+    The canonical URL is `.host/path`. For a rule that is `split`, it is `.host#/path`: neither part can hold a `#`, so
+    what stands before it in the glob fits the host alone."""
 
     glob: str
     label: str
     verdict: str
+    split: bool = False
 
 
 def site_rule(host: str, path: str, verdict: str) -> Rule:
     """Fits the host and its subdomains where the path starts with `path`."""
     quote = lambda s: "".join("\\" + c if c in "*?\\" else c for c in s)
-    return Rule(f"*.{quote(host)}{quote(path)}*", host + path, verdict)
+    return Rule(f"*.{quote(host)}#{quote(path)}*", host + path, verdict, split=True)
 
 
 class Automaton:
@@ -121,17 +125,19 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", fal
     rank = sorted(range(len(every)), key=lambda k: (k >= len(rules), -len(every[k].label), k))
     labels = [every[k].label for k in rank]
     verdicts = [every[k].verdict for k in rank]
-    globs = [every[k].glob for k in rank]
+    kinds = [(sign, own, [every[rank[i]].glob for i in own]) for sign, split in (("#", True), ("", False)) if (own := [i for i, k in enumerate(rank) if every[k].split == split])]
     n_rules = len(rules)
     built: list[Automaton] = []
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(Automaton(globs))
+        if len(built) < len(kinds):
+            built.extend(Automaton(globs) for _, _, globs in kinds)
         names = [*labels, None]
         for batch in batches:
             host, path = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "path"))
-            fits = built[0].fits([f".{h}{p}".encode() for h, p in zip(host, path)])
+            fits = np.zeros((len(host), len(labels)), bool)
+            for machine, (sign, own, _) in zip(built, kinds):
+                fits[:, own] = machine.fits([f".{h}{sign}{p}".encode() for h, p in zip(host, path)])
             first = np.where(fits.any(1), fits.argmax(1), len(labels)) if len(labels) else np.zeros(len(host), int)
             cols = [pa.array([names[i] if i < n_rules else None for i in first], pa.string()), pa.array([names[i] if i >= n_rules else None for i in first], pa.string()), pa.array([verdicts[i] if i < len(verdicts) else default for i in first], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "rule", "pattern", "verdict"])

@@ -49,6 +49,23 @@ def test_url_filter_rows(spark):
     assert url_filters.filter_urls(df.limit(0), rules).count() == 0
 
 
+def test_site_rules_fit_no_host_names_inside_paths(spark):
+    sites = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"))
+    parts = ["example.com", "www.example.com", "x.net", "net", "a.org", "com", "en", "es", "spam-farm", "a#b.com"]
+    rng = random.Random(8)
+    urls = ["https://a.org/www.example.com/en/x", "http://a.org/go/y.net/es/z", "http://spam-farm.org/x.com/", "http://a.org/.com/", "http://a.org/com", "http://a.com.org/en/"]
+    urls += ["http://" + rng.choice(["", "www.", "a."]) + "/".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) + rng.choice(["", "/", "?x.net/es/"]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    junk = [url_filters.Rule("*spam-farm*", "*spam-farm*", "block"), url_filters.Rule("*.org/go/*", "go", "block")]
+    rows = url_filters.filter_urls(df, [url_filters.site_rule(*s) for s in sites], "allow", junk).collect()
+    for r in rows:
+        fit = [(host + path, verdict) for host, path, verdict in sites if f".{r.host}".endswith(f".{host}") and r.path.startswith(path)]
+        label, verdict = max(fit, key=lambda x: len(x[0]), default=(None, None))
+        pattern = None if label else "*spam-farm*" if "spam-farm" in r.host + r.path else "go" if fnmatch.fnmatchcase(r.host + r.path, "*.org/go/*") else None
+        assert (r.rule, r.pattern, r.verdict) == (label, pattern, verdict or ("block" if pattern else "allow")), r.url
+    assert [(r.rule, r.verdict) for r in sorted(rows)[:3]] == [(None, "allow"), (None, "block"), (None, "block")]
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(zip(words, words[1:], words[2:]))
