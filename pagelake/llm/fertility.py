@@ -118,7 +118,7 @@ def _dup_lines(texts: Texts, words: Words) -> np.ndarray:
         return np.zeros(texts.n, np.int64)
     end = np.append(begin[1:], len(breaks))
     end = end - (breaks[end - 1] & (end > begin))
-    wordy = np.diff(np.append(np.searchsorted(words.first_byte, begin), words.n)) > 0
+    wordy = np.diff(np.append(np.searchsorted(words.starts, begin), words.n)) > 0
     begin, end = begin[wordy], end[wordy]
     text = np.searchsorted(texts.offsets, begin, "right") - 1
     raw = memoryview(np.ascontiguousarray(texts.bytes))

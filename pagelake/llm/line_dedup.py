@@ -1,20 +1,22 @@
 """Line dedup by an exact set-similarity join.
 
 A line is its set of distinct words (A-Z lower-cased). A line goes if an earlier line, in the order of doc_id and line
-number over the whole corpus, has a Jaccard similarity of at least the threshold, whether or not that one goes too; so
-of equal sets the first stays. Lines without words stay.
+number over the whole corpus, has a Jaccard similarity of at least the threshold (over 50 %), whether or not that one goes
+too; so of equal sets the first stays. Lines without words stay.
 
-Words are ordered by rarity: a 64-bit word hash gets, in place of its upper 16 bits, the rank of that bucket's word count
-in the corpus. The rank table has 65536 entries whatever the corpus; any total order keeps the join exact, and the counts
-only make the prefixes selective. Two similar sets of n and m words share a word among the first n - ceil(t n) + 1 and
+Words are ordered by rarity: a 64-bit word hash gets, in place of its upper 16 bits, a rank by the count of its bucket in
+the corpus. The table has 2^18 buckets whatever the corpus; any total order keeps the join exact, and the counts only make
+the prefixes selective. Two similar sets of n and m words share a word among the first n - ceil(t n) + 1 and
 m - ceil(t m) + 1 in that order (prefix filter). Lines that share a prefix word pass on only if their sizes allow the
 threshold (length filter), if enough words are left after the shared one on both sides (positional filter), and if their
-128-bit word maps differ in few enough bits, a bound that is exact too. What passes is verified on the full sets.
+128-bit word maps differ in few enough bits (a word turns a bit over, so each bit that differs stands for a word that does). What passes is verified on the full sets, which are
+gathered in one pass over the texts that hold them.
 
-Equal sets are one class from the start. Word groups are read in order of line size, so that only lines of fitting sizes
-meet. In groups of up to SMALL classes, each class is first paired with at most FIRST earlier ones that pass the filters;
-in larger ones, or those of a very frequent word, which are dealt over several tasks, with one early one. Where there
-may be more, the classes still without an earlier match are then joined with the whole group. So a template with very many variants isn't expanded into all its pairs, and no pair is left out.
+Equal sets are one class from the start, by a 128-bit digest. Word groups are read in order of line size, so that only
+lines of fitting sizes meet. In groups of up to SMALL classes, each class is first paired with at most FIRST earlier ones
+that pass the filters; in larger ones, or those of a very frequent word, which are dealt over several tasks, with one early
+one. Where there may be more, the classes still without an earlier match meet the members that share a second word with
+them. So a template with very many variants isn't expanded into all its pairs, and no pair is left out.
 
 Defined results: a null text stays null. Rows with equal doc_id share their place, so that of their lines only one with a
 higher number is later than another; their texts are told apart by a digest, and each loses its own lines alone. A null
@@ -26,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from .shared import Scratch, extended, only
 from .words import Texts, Words, chunks, mix
 
-BUCKETS = 1 << 16
+#: Buckets of word hashes that are counted: a bounded table, whatever the corpus.
+BITS = 18
+BUCKETS = 1 << BITS
 #: Classes of a word's group that are held against one another at once.
 SMALL = 2_048
 #: Candidates that a class gets from a group at first; where there may be more, they are looked for once these have failed.
@@ -45,6 +48,8 @@ TIMES_MEAN = 100
 #: Rows that are gone through at once.
 ROWS = 100_000
 SALTS = 16
+#: A class with more than a part in so many of the rows to look up is looked up where the rows are.
+HOT = 1_000
 _SALT_BIT = 40
 _UNSALTED = ~((SALTS - 1) << _SALT_BIT)
 _LAST = 2**63 - 1
@@ -57,37 +62,40 @@ class Lines:
         texts = Texts(column, lower=True)
         words = Words(texts)
         breaks = np.flatnonzero(texts.bytes == 10)
-        # A line is numbered by its text and the line breaks before it in that text.
-        line = np.searchsorted(breaks, words.first_byte)
-        new = np.ones(words.n, bool)
-        new[1:] = (line[1:] != line[:-1]) | (words.text[1:] != words.text[:-1])
-        begin = np.flatnonzero(new)
-        self.text = words.text[begin]
-        self.number = line[begin] - np.searchsorted(breaks, texts.offsets[:-1])[self.text]
-        h = words.hashes()
-        key = (rank[(h >> np.uint64(48)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (h & np.uint64(2**48 - 1))
+        # A line begins with the first word of a text or after a line break; its number is that of the line breaks before it in its text.
+        begin = np.unique(np.concatenate([words.bounds[:-1], np.searchsorted(words.starts, breaks)]))
+        begin = begin[begin < words.n]
+        self.text = np.searchsorted(words.bounds, begin, "right") - 1
+        self.number = np.searchsorted(breaks, words.starts[begin]) - np.searchsorted(breaks, texts.offsets[:-1])[self.text]
+        key = words.hashes()
+        key = rank[(key >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(48) | key & np.uint64(2**48 - 1)
         ends = np.append(begin, words.n)
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
             key[a:b].sort()
         keep = np.ones(words.n, bool)
-        keep[1:] = (key[1:] != key[:-1]) | new[1:]
+        keep[1:] = key[1:] != key[:-1]
+        keep[begin] = True
         self.keys = key[keep]
         self.begin = (np.cumsum(keep) - keep)[begin]
         self.sizes = np.diff(np.append(self.begin, len(self.keys)))
         self.n = len(begin)
 
-    def digests(self) -> np.ndarray:
+    def _sums(self, seed: int) -> np.ndarray:
         if not self.n:
             return np.zeros(0, np.int64)
-        return (np.add.reduceat(mix(self.keys ^ np.uint64(0x2545F4914F6CDD1D)), self.begin) + self.sizes.astype(np.uint64)).view(np.int64)
+        return (np.add.reduceat(mix(self.keys ^ np.uint64(seed)), self.begin) + self.sizes.astype(np.uint64)).view(np.int64)
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each set, in two halves."""
+        return self._sums(0x2545F4914F6CDD1D), self._sums(0x5851F42D4C957F2D)
 
     def maps(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each word sets one of 128 bits."""
+        """128 bits, of which each word turns one over; so two sets differ in at least as many words as their maps do in bits."""
         if not self.n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         place = mix(self.keys) >> np.uint64(57)
         bit = np.uint64(1) << (place & np.uint64(63))
-        return tuple(np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == w, bit, np.uint64(0)), self.begin).view(np.int64) for w in range(2))
+        return tuple(np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0)), self.begin).view(np.int64) for half in range(2))
 
     def set_of(self, i: int) -> np.ndarray:
         return self.keys[self.begin[i] : self.begin[i] + self.sizes[i]]
@@ -102,24 +110,25 @@ def _row_of(doc_id: str, text: str) -> tuple[F.Column, F.Column]:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("own")
 
 
-def rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The rank of each bucket of word hashes by its count over the whole corpus, and the counts by rank."""
+def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The rank of each bucket of word hashes by its count over the whole corpus, and the rank from which words are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in chunks(batch, "text"):
-                total += np.bincount((Words(Texts(part["text"], lower=True)).hashes() >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                total += np.bincount((Words(Texts(part["text"], lower=True)).hashes() >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["bucket", "words"])
 
-    counted = _ready(docs).mapInArrow(run, "bucket int, words long").groupBy("bucket").agg(F.sum("words").alias("words")).toPandas()
-    total = np.zeros(BUCKETS, np.int64)
-    total[counted["bucket"].to_numpy(np.int64)] = counted["words"].to_numpy(np.int64)
-    order = np.argsort(total, kind="stable")
-    rank = np.empty(BUCKETS, np.uint16)
-    rank[order] = np.arange(BUCKETS)
-    return rank, total[order]
+    counted = _ready(docs).mapInArrow(run, "bucket int, words long").groupBy("bucket").agg(F.sum("words").alias("words")).toArrow()
+    bucket, words = counted["bucket"].to_numpy(), counted["words"].to_numpy()
+    order = np.lexsort((bucket, words))
+    place = np.arange(len(order)) * 65_535 // max(1, len(order))
+    rank = np.zeros(BUCKETS, np.uint16)
+    rank[bucket[order]] = place
+    often = words[order] >= max(FREQUENT, TIMES_MEAN * words.mean()) if len(order) else np.zeros(0, bool)
+    return rank, int(place[often][0]) if often.any() else 1 << 16
 
 
 def _least(n, percent: int):
@@ -128,33 +137,37 @@ def _least(n, percent: int):
 
 
 def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
-    """A row per line with words; prefix (null if no other line can be similar) only for the first of equal ones in a chunk."""
+    """A row per line with words; prefix, with a word more than the prefix filter needs, only for the first of equal ones in a chunk, and null where no other line can be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 lines = Lines(part["text"], rank)
-                digest = lines.digests()
+                digest, second = lines.digests()
                 doc = part["doc"].to_numpy()[lines.text]
-                order = np.lexsort((lines.number, doc, digest))
-                first = np.zeros(lines.n, bool)
-                first[order] = np.diff(digest[order], prepend=~digest[order][:1]) != 0
+                order = np.lexsort((lines.number, doc, second, digest))
+                first = np.ones(lines.n, bool)
+                first[order[1:]] = (np.diff(digest[order]) != 0) | (np.diff(second[order]) != 0)
                 n = lines.sizes
                 # Lines of up to three words have no similar line but equal ones unless the threshold is low.
                 alone = (_least(n, percent) == n) & (100 * n < percent * (n + 1))
-                size = np.where(first & ~alone, n - _least(n, percent) + 1, 0)
+                size = np.where(first & ~alone, np.minimum(n, n - _least(n, percent) + 2), 0)
                 shift = np.repeat(lines.begin - (np.cumsum(size) - size), size)
                 prefix = lines.keys[shift + np.arange(len(shift))].view(np.int64)
                 ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
                 listed = pa.ListArray.from_arrays(ends, pa.array(prefix, pa.int64()), mask=pa.array(size == 0))
-                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc), pa.array(part["own"].to_numpy()[lines.text]), pa.array(lines.number), pa.array(n), *map(pa.array, lines.maps()), listed], ["digest", "doc", "own", "line", "n", "m1", "m2", "prefix"])
+                kept = lambda x, none=size == 0: pa.array(x, pa.int64(), mask=none)
+                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(second), pa.array(doc), pa.array(part["own"].to_numpy()[lines.text]), pa.array(lines.number), kept(n), *map(kept, lines.maps()), listed], ["digest", "second", "doc", "own", "line", "n", "m1", "m2", "prefix"])
 
-    return _ready(docs).mapInArrow(run, "digest long, doc long, own long, line long, n long, m1 long, m2 long, prefix array<long>")
+    return _ready(docs).mapInArrow(run, "digest long, second long, doc long, own long, line long, n long, m1 long, m2 long, prefix array<long>")
 
 
-_CANDIDATE = "a long, b long, word long, digest long, n long, at long, m1 long, m2 long, doc long, line long, more long"
-_NAMES = [x.split()[0] for x in _CANDIDATE.split(", ")]
-_ROW = ["word", "digest", "n", "at", "m1", "m2", "doc", "line"]
+#: Rows of word groups: size and place of the word are in one number, the size first.
+_ROW = ["word", "sized", "digest", "m1", "m2", "doc", "line"]
+_NAMES = ["a", "b", *_ROW, "more"]
+#: In `more`: 0 for a row that is only met, 1 for one that may have more earlier matches, _LARGE for any row of a large group.
+_LARGE = 2
+_CANDIDATE = ", ".join(f"{c} long" for c in _NAMES)
 
 
 def _passes(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -167,14 +180,16 @@ def _passes(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent:
 
 
 def _in_groups(percent: int, frequent: int):
-    """Rows sorted by (word, n, digest, doc, line) -> candidate pairs (a before b in the corpus), and the rows of large groups."""
+    """Rows sorted by (word, sized, digest, doc, line) -> candidate pairs (a before b in the corpus), and the rows of large groups."""
 
     def before(doc, line, other_doc, other_line):
         return (doc < other_doc) | (doc == other_doc) & (line < other_line)
 
     def of_groups(rows: dict[str, np.ndarray], hub: dict | None, goes_further: bool) -> tuple[list[dict[str, np.ndarray]], dict | None]:
         """Output for whole groups of one row a class, but that the first may continue the large group of `hub`, and the last is large and goes on if it `goes_further`."""
-        word, n = rows["word"], rows["n"]
+        word = rows["word"]
+        rows = rows | {"n": rows["sized"] >> 32, "at": rows["sized"] & (2**32 - 1)}
+        n = rows["n"]
         new = np.ones(len(word), bool)
         new[1:] = word[1:] != word[:-1]
         begin = np.flatnonzero(new)
@@ -188,7 +203,7 @@ def _in_groups(percent: int, frequent: int):
         # Within a small group rows are in order of n: once a later row is too long, all after it are.
         doc, line, digest = rows["doc"], rows["line"], rows["digest"]
         i, lag, got = np.flatnonzero(~large[group] & (size[group] > 1)), 0, np.zeros(len(word), np.int64)
-        more = np.zeros(len(word), bool)
+        more, beside = np.zeros(len(word), bool), np.zeros(len(word), bool)
         end = (begin + size)[group]
         while len(i):
             lag += 1
@@ -203,11 +218,9 @@ def _in_groups(percent: int, frequent: int):
             open_ = got[y] < FIRST
             out.append({"a": digest[x[open_]], "b": digest[y[open_]]})
             np.add.at(got, y[open_], 1)
-            more[y[~open_]] = True
-        wide = np.zeros(len(size), bool)
-        wide[group[more]] = True
-        if wide.any():
-            out.append({k: rows[k][wide[group]] for k in _NAMES[2:-1]} | {"more": more[wide[group]].astype(np.int64)})
+            more[y[~open_]] = beside[x[~open_]] = True
+        left = more | beside
+        out.append({k: rows[k][left] for k in _ROW} | {"more": more[left].astype(np.int64)})
         for g in np.flatnonzero(large):
             own = np.arange(begin[g], begin[g] + size[g])
             if not (g == 0 and goes_on):
@@ -219,7 +232,7 @@ def _in_groups(percent: int, frequent: int):
                 pick = good[late]
                 fixed = np.repeat(hub["digest"], len(pick))
                 out.append({"a": fixed if a is None else digest[pick], "b": fixed if b is None else digest[pick]})
-            out.append({k: rows[k][own] for k in _NAMES[2:-1]} | {"more": np.ones(len(own), np.int64)})
+            out.append({k: rows[k][own] for k in _ROW} | {"more": np.full(len(own), _LARGE)})
         return out, hub if large[-1] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,11 +259,12 @@ def _in_groups(percent: int, frequent: int):
             if not len(rows["word"]):
                 return
             out, hub = of_groups(rows, hub, goes_further)
-            pairs = {k: np.concatenate([x[k] for x in out if "a" in x] or [np.zeros(0, np.int64)]) for k in ("a", "b")}
-            single = pd.MultiIndex.from_arrays([pairs["a"], pairs["b"]]).drop_duplicates() if len(pairs["a"]) else None
-            if single is not None:
-                out = [{"a": single.get_level_values(0).to_numpy(), "b": single.get_level_values(1).to_numpy()}, *[x for x in out if "a" not in x]]
-            for x in out if single is not None else [x for x in out if "a" not in x]:
+            a, b = (np.concatenate([x[k] for x in out if "a" in x] or [np.zeros(0, np.int64)]) for k in ("a", "b"))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            for x in ({"a": a[new], "b": b[new]}, *[x for x in out if "a" not in x]):
                 size = len(next(iter(x.values())))
                 yield pa.RecordBatch.from_arrays([pa.array(x[c]) if c in x else pa.nulls(size, pa.int64()) for c in _NAMES], _NAMES)
 
@@ -268,80 +282,107 @@ def _in_groups(percent: int, frequent: int):
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of digests whose sets are similar."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    places = classes.select("digest", "doc", "own", "line").join(needed, "digest").groupBy("doc", "own").agg(F.collect_list(F.struct("line", "digest")).alias("wanted"))
+def _sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.ndarray) -> DataFrame:
+    """digest, second, doc, line, words: the sets of the needed(digest) classes and their first places, from one pass over the texts that have these."""
+    places = classes.select("digest", "second", "doc", "own", "line").join(needed, "digest").groupBy("doc", "own").agg(F.collect_list(F.struct("line", "digest", "second")).alias("wanted"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 lines = Lines(part["text"], rank)
-                wanted = {(t, x["line"]): x["digest"] for t, own in enumerate(part["wanted"].to_pylist()) for x in own}
-                digests, sets = [], []
-                for i, place in enumerate(zip(lines.text.tolist(), lines.number.tolist())):
-                    if place in wanted:
-                        digests.append(wanted[place])
-                        sets.append(lines.set_of(i).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(sets, pa.binary())], ["digest", "words"])
+                wanted = {(t, x["line"]): (x["digest"], x["second"]) for t, own in enumerate(part["wanted"].to_pylist()) for x in own}
+                doc = part["doc"].to_numpy()
+                found = [(*wanted[place], doc[place[0]], place[1], lines.set_of(i).tobytes()) for i, place in enumerate(zip(lines.text.tolist(), lines.number.tolist())) if place in wanted]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["digest", "second", "doc", "line", "words"])
+
+    # The same plan at every size: what the texts meet is never broadcast.
+    return _ready(docs).join(places.hint("merge"), ["doc", "own"]).select("doc", "text", "wanted").mapInArrow(to_sets, "digest long, second long, doc long, line long, words binary")
+
 
-    sets = scratch.write(_ready(docs).join(places, ["doc", "own"]).select("text", "wanted").mapInArrow(to_sets, "digest long, words binary"), "sets").dropDuplicates(["digest"])
+def _later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """digest, second: of the pairs (a, b) of digests whose sets are similar, the class that comes later."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch["x"].to_pylist(), batch["y"].to_pylist())):
+            for i, (x, y) in enumerate(zip(batch["x_words"].to_pylist(), batch["y_words"].to_pylist())):
                 both = np.sort(np.frombuffer(x + y, np.uint64))
                 common = int((both[1:] == both[:-1]).sum())
                 good[i] = 100 * common >= percent * (len(both) - common)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good))
-
-    joined = pairs.join(sets.select(F.col("digest").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("words").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+            yield pa.RecordBatch.from_arrays([batch["digest"], batch["second"]], ["digest", "second"]).filter(pa.array(good))
+
+    side = lambda name: sets.select(*[F.col(c).alias(f"{name}_{c}") for c in sets.columns])
+    joined = pairs.join(side("x"), F.col("a") == F.col("x_digest")).join(side("y"), F.col("b") == F.col("y_digest"))
+    x_place, y_place = F.struct("x_doc", "x_line"), F.struct("y_doc", "y_line")
+    pick = lambda c: F.when(x_place < y_place, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(c)
+    return joined.where(x_place != y_place).select(pick("digest"), pick("second"), "x_words", "y_words").mapInArrow(compare, "digest long, second long").distinct()
+
+
+def _rest(big: DataFrame, found: DataFrame, matched: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of large groups whose later class is still without an earlier match.
+
+    Similar lines share two words at least among the first n - ceil(t n) + 2, so groups are parted by a second word of these."""
+    second = found.where("prefix IS NOT NULL").join(big.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("prefix").alias("prefix"))
+    rows = big.join(second, "digest").select(F.col("word").bitwiseAND(F.lit(_UNSALTED)).alias("word"), F.shiftright("sized", 32).alias("n"), F.col("sized").bitwiseAND(F.lit(2**32 - 1)).alias("at"), "digest", "m1", "m2", "doc", "line", "more", F.posexplode("prefix").alias("place", "other")).where("place <> at")
+    x, y = rows.alias("x"), rows.where("more > 0").join(matched.select("digest").distinct(), "digest", "left_anti").alias("y")
+    need = F.floor((percent * (F.col("x.n") + F.col("y.n")) + 99 + percent) / (100 + percent))
+    apart = sum(F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in ("m1", "m2"))
+    passes = (
+        (F.struct("x.doc", "x.line") < F.struct("y.doc", "y.line"))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
+        & (F.col("x.n") + F.col("y.n") - apart >= 2 * need)
+    )
+    return x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.other") == F.col("y.other")) & passes).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+
+
+def _gone(found: DataFrame, classes: DataFrame, matched: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, own, lines: matched classes go wholly, of the others all but the first place."""
+    named = classes.join(matched.withColumn("matched", F.lit(True)), ["digest", "second"], "left").where("matched OR again")
+    named = scratch.write(named.select("digest", "second", F.struct("doc", "line").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"), "rows"), "named")
+    total = named.agg(F.sum("rows")).first()[0] or 0
+    # The few classes with more than a thousandth of these rows are looked up where the rows are: fewer than a thousand, whatever the corpus.
+    hot = F.broadcast(named.where(F.col("rows") * HOT > total))
+    key, rows = ["digest", "second"], found.select("digest", "second", "doc", "own", "line")
+    gone = rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(named.where(F.col("rows") * HOT <= total), key))
+    gone = gone.where(F.col("matched") | (F.struct("doc", "line") > F.col("first")))
+    return scratch.write(gone.groupBy("doc", "own").agg(F.collect_set("line").alias("lines")), "gone")
 
 
 def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs(doc_id, text) -> doc, own, lines: the numbers (from 0) of the lines of each document, by id and digest of its text, that go."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100")
     scratch = Scratch(docs.sparkSession, "lines")
-    rank, counts = rarity(docs)
-    frequent = int(np.searchsorted(counts, max(FREQUENT, TIMES_MEAN * counts.mean())))
+    rank, frequent = rarity(docs)
     found = scratch.write(_occurrences(docs, rank, percent), "occurrences")
 
-    rows = found.where("prefix IS NOT NULL").select("digest", "doc", "line", "n", "m1", "m2", F.posexplode("prefix").alias("at", "word")).withColumn("at", F.col("at").cast("long"))
+    n = F.col("n")
+    rows = found.where("prefix IS NOT NULL").select("digest", "doc", "line", "n", "m1", "m2", F.posexplode(F.slice("prefix", F.lit(1), (n - F.floor((percent * n + 99) / 100) + 1).cast("int"))).alias("at", "word"))
     is_frequent = F.shiftrightunsigned("word", 48) >= frequent
     salt = F.shiftleft(F.pmod(F.xxhash64("digest"), F.lit(SALTS)), _SALT_BIT)
-    rows = rows.withColumn("word", F.when(is_frequent, F.col("word").bitwiseXOR(salt)).otherwise(F.col("word"))).select(*_ROW)
-    groups = scratch.write(rows.repartition("word").sortWithinPartitions("word", "n", "digest", "doc", "line").mapInArrow(_in_groups(percent, frequent), _CANDIDATE), "groups")
-    del rows, is_frequent, salt
-    scratch.release()
+    rows = rows.select(F.when(is_frequent, F.col("word").bitwiseXOR(salt)).otherwise(F.col("word")).alias("word"), (F.shiftleft("n", 32) + F.col("at")).alias("sized"), "digest", "m1", "m2", "doc", "line")
+    groups = scratch.write(rows.repartition("word").sortWithinPartitions("word", "sized", "digest", "doc", "line").mapInArrow(_in_groups(percent, frequent), _CANDIDATE), "groups")
 
     place = F.struct("doc", "line", "own")
-    classes = found.groupBy("digest").agg(F.min(place).alias("p"), F.max(place).alias("q"))
-    classes = scratch.write(classes.select("digest", "p.doc", "p.own", "p.line", (F.struct("p.doc", "p.line") != F.struct("q.doc", "q.line")).alias("again")), "classes")
-    pairs = groups.where("a IS NOT NULL").select("a", "b").distinct()
-    links = scratch.write(_verified(pairs, classes, docs, rank, percent, scratch), "links")
-    matched = links.select(F.col("b").alias("digest")).distinct()
-
-    # Large groups: those still without an earlier match meet all earlier members.
-    big = groups.where("a IS NULL").select(F.col("word").bitwiseAND(F.lit(_UNSALTED)).alias("word"), "digest", "n", "at", "m1", "m2", "doc", "line", "more")
-    if not big.where("more = 1").isEmpty():
-        late = big.where("more = 1").join(matched, "digest", "left_anti")
-        x, y = big.alias("x"), late.alias("y")
-        need = F.floor((percent * (F.col("x.n") + F.col("y.n")) + 99 + percent) / (100 + percent))
-        apart = sum(F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in ("m1", "m2"))
-        passes = (
-            (F.struct("x.doc", "x.line") < F.struct("y.doc", "y.line"))
-            & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-            & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
-            & (F.col("x.n") + F.col("y.n") - apart >= 2 * need)
-        )
-        rest = x.join(y, (F.col("x.word") == F.col("y.word")) & passes).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-        rest = scratch.write(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-        matched = matched.union(_verified(rest, classes, docs, rank, percent, scratch).select("b")).distinct()
-
-    named = classes.join(matched.withColumn("matched", F.lit(True)), "digest", "left").where("matched OR again").select("digest", F.struct("doc", "line").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    gone = found.select("digest", "doc", "own", "line").join(named, "digest").where(F.col("matched") | (F.struct("doc", "line") > F.col("first")))
-    return scratch.write(gone.groupBy("doc", "own").agg(F.collect_set("line").alias("lines")), "gone")
+    classes = found.groupBy("digest", "second").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("rows"))
+    classes = scratch.write(classes.select("digest", "second", "p.doc", "p.own", "p.line", (F.struct("p.doc", "p.line") != F.struct("q.doc", "q.line")).alias("again"), "rows"), "classes")
+    pairs = scratch.write(groups.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    big = groups.where("a IS NULL").drop("a", "b")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).union(big.where(F.col("more") < _LARGE).select("digest")).distinct()
+    sets = scratch.write(_sets(needed, classes, docs, rank), "sets").dropDuplicates(["digest", "second"])
+    matched = scratch.write(_later(pairs, sets, percent), "matched")
+    # Those that may have more candidates and are still without an earlier match.
+    if not big.where("more > 0").isEmpty():
+        rest = scratch.write(_rest(big, found, matched, percent).join(pairs, ["a", "b"], "left_anti"), "rest")
+        missing = scratch.write(rest.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(sets.select("digest"), "digest", "left_anti"), "missing")
+        if not missing.isEmpty():
+            sets = sets.union(scratch.write(_sets(missing, classes, docs, rank), "more_sets").dropDuplicates(["digest", "second"]))
+        matched = scratch.write(matched.union(_later(rest, sets, percent)).distinct(), "all_matched")
+    gone = _gone(found, classes, matched, scratch)
+    scratch.drop_all_but(gone)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -350,7 +391,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     text, doc = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
     gone = later_matches(docs, percent)
     row_doc, row_own = _row_of(doc, text)
-    joined = docs.toDF(*names).join(gone, (row_doc == F.col("doc")) & (row_own == F.col("own")), "left")
+    joined = docs.toDF(*names).join(gone.hint("merge"), (row_doc == F.col("doc")) & (row_own == F.col("own")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -193,7 +193,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([s.tobytes() for s in shingle_sets(part["text"], k)], pa.binary())], ["doc_id", "shingles"])
 
     sets = scratch.write(docs.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(to_sets, "doc_id long, shingles binary"), "sets")
-    scratch.release()
     sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
     stars = shared.where("rep <> hub").select("hub", "rep", "n").distinct().join(sizes, "hub")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)

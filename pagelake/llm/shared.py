@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,37 +21,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Public setting: the shuffle files of a query are deleted as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables written to the shared folder so that a lost executor costs a reread, not a recomputation."""
+    """Tables written to the shared folder so that a lost executor costs a reread, not a recomputation.
+
+    Nothing reads the shuffle files of a plan whose result has been written, so they are deleted at its end."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: list[str] = []
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         path, self.n = f"{self.base}/{self.n}-{name}", self.n + 1
         schema = df.schema
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
+        self.paths.append(path)
         read = self.spark.read.schema(schema).parquet(path)
         read._written = path
         return read
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
+        self._delete([table._written for table in tables])
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Deletes all tables written so far but these."""
+        keep = {table._written for table in tables}
+        self._delete([path for path in self.paths if path not in keep])
+
+    def _delete(self, paths: list[str]) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._written)
+        for name in paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
-
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that nothing refers to: neither Python nor an event still on its way."""
-        gc.collect()
-        with contextlib.suppress(Exception):
-            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-        for _ in range(2):
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
+        self.paths = [path for path in self.paths if path not in paths]
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -6,16 +6,22 @@ Texts are never cut: `chunks` only groups whole texts, and one very long text is
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Longer words are hashed one by one.
+_LONG = 256
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
+_SOLID = ~_WS
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _rng = np.random.default_rng(20240613)
@@ -66,33 +72,58 @@ class Texts:
 
 
 class Words:
-    """All words of a chunk: `counts` per text, `text` of each word, `data` the words' bytes without gaps, `ends` offsets in it."""
+    """All words of a chunk in order: where each begins and ends among the texts' bytes, and how many each text has."""
 
     def __init__(self, texts: Texts):
-        solid = ~_WS[texts.bytes]
-        first = np.zeros(len(solid), bool)
-        if len(solid):
-            first[1:] = solid[:-1]
-            inner = texts.offsets[:-1]
-            first[inner[inner < len(solid)]] = False
-            first = solid & ~first
+        solid = _SOLID[texts.bytes]
+        n = len(solid)
+        turns = np.zeros(n + 1, bool)
+        if n:
+            turns[0], turns[n] = solid[0], solid[n - 1]
+            np.not_equal(solid[1:], solid[:-1], out=turns[1:n])
+        edges = np.flatnonzero(turns)
+        # Where one text's last word meets the next one's first, a word ends and another begins.
+        seams = texts.offsets[1:-1]
+        seams = np.unique(seams[(seams > 0) & (seams < n)])
+        seams = seams[solid[seams] & solid[seams - 1]]
+        if len(seams):
+            edges = np.sort(np.concatenate([edges, np.repeat(seams, 2)]), kind="stable")
         self.solid, self.texts = solid, texts
-        self.counts = texts.per_text(first)
-        self.data = texts.bytes[solid]
-        position = np.cumsum(solid, dtype=np.int64) - solid
-        self.starts = position[first]
-        self.ends = np.append(self.starts, len(self.data))
+        self.starts, self.stops = edges[::2], edges[1::2]
         self.n = len(self.starts)
-        self.text = np.repeat(np.arange(texts.n), self.counts)
-        self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
-        self.first_byte = np.flatnonzero(first)
+        self.bounds = np.searchsorted(self.starts, texts.offsets)
+        self.counts = np.diff(self.bounds)
+
+    @cached_property
+    def text(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(self.texts.n), self.counts)
 
     def strings(self) -> pa.Array:
-        return pa.LargeStringArray.from_buffers(self.n, pa.py_buffer(self.ends), pa.py_buffer(np.ascontiguousarray(self.data)))
+        ends = np.concatenate([[0], np.cumsum(self.stops - self.starts)])
+        return pa.LargeStringArray.from_buffers(self.n, pa.py_buffer(ends), pa.py_buffer(self.texts.bytes[self.solid]))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same in every process."""
-        return hash_runs(self.data, self.ends)
+        """A 64-bit hash of each word, the same in every process: eight bytes at a time, for all words that have so many."""
+        padded = np.zeros((len(self.texts.bytes) + 23) // 8 * 8, np.uint8)
+        padded[: len(self.texts.bytes)] = self.texts.bytes
+        blocks = padded.view("<u8")
+        sizes = self.stops - self.starts
+
+        def load(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+            block, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+            return (blocks[block] >> shift | blocks[block + 1] << np.uint64(1) << (np.uint64(63) - shift)) & _FIRST[np.minimum(left, 8)]
+
+        out = mix(load(self.starts, sizes) + sizes.astype(np.uint64) * _BASE)
+        more, done = np.flatnonzero((sizes > 8) & (sizes <= _LONG)), 8
+        while len(more):
+            left = sizes[more] - done
+            out[more] = mix(out[more] ^ load(self.starts[more] + done, left) * _BASE)
+            more, done = more[left > 8], done + 8
+        for i in np.flatnonzero(sizes > _LONG).tolist():
+            whole = hashlib.blake2b(self.texts.bytes[self.starts[i] : self.stops[i]].tobytes(), digest_size=8)
+            out[i] = int.from_bytes(whole.digest(), "little")
+        return out
 
 
 def hash_runs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:

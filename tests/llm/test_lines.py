@@ -85,7 +85,7 @@ def test_groups_across_settle_boundaries(monkeypatch, classes, copies):
     for at in range(0, len(rows), 5):
         word, n, digest, doc = map(np.array, zip(*rows[at : at + 5]))
         zero = np.zeros(len(word), np.int64)
-        batches.append(pa.RecordBatch.from_pydict({"word": word, "digest": digest, "n": n, "at": zero, "m1": zero, "m2": zero, "doc": doc, "line": zero}))
+        batches.append(pa.RecordBatch.from_pydict({"word": word, "sized": n << 32, "digest": digest, "m1": zero, "m2": zero, "doc": doc, "line": zero}))
     out = [r for b in line_dedup._in_groups(80, 1 << 16)(iter(batches)) for r in b.to_pylist()]
     pairs = {(r["a"], r["b"]) for r in out if r["a"] is not None}
     for word in (5, 6):
