@@ -121,7 +121,7 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["bucket", "words"])
 
-    counted = _ready(docs).mapInArrow(run, "bucket int, words long").groupBy("bucket").agg(F.sum("words").alias("words")).toArrow()
+    counted = only(docs, "text").mapInArrow(run, "bucket int, words long").groupBy("bucket").agg(F.sum("words").alias("words")).toArrow()
     bucket, words = counted["bucket"].to_numpy(), counted["words"].to_numpy()
     order = np.lexsort((bucket, words))
     place = np.arange(len(order)) * 65_535 // max(1, len(order))
@@ -282,9 +282,10 @@ def _in_groups(percent: int, frequent: int):
     return run
 
 
-def _sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.ndarray) -> DataFrame:
+def _sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.ndarray, scratch: Scratch, name: str) -> DataFrame:
     """digest, second, doc, line, words: the sets of the needed(digest) classes and their first places, from one pass over the texts that have these."""
     places = classes.select("digest", "second", "doc", "own", "line").join(needed, "digest").groupBy("doc", "own").agg(F.collect_list(F.struct("line", "digest", "second")).alias("wanted"))
+    places = scratch.write(places, f"{name}_places")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,8 +297,9 @@ def _sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.ndarr
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["digest", "second", "doc", "line", "words"])
 
-    # The same plan at every size: what the texts meet is never broadcast.
-    return _ready(docs).join(places.hint("merge"), ["doc", "own"]).select("doc", "text", "wanted").mapInArrow(to_sets, "digest long, second long, doc long, line long, words binary")
+    # Of repeated rows one is enough; their grouping needs no further exchange where the join has sorted them.
+    held = _ready(docs).join(places, ["doc", "own"]).groupBy("doc", "own").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    return scratch.write(held.select("doc", "text", "wanted").mapInArrow(to_sets, "digest long, second long, doc long, line long, words binary"), name)
 
 
 def _later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -319,13 +321,20 @@ def _later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(x_place != y_place).select(pick("digest"), pick("second"), "x_words", "y_words").mapInArrow(compare, "digest long, second long").distinct()
 
 
-def _rest(big: DataFrame, found: DataFrame, matched: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of large groups whose later class is still without an earlier match.
+def _rest(big: DataFrame, late: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of the late rows with all earlier members of their groups that share a second word with them.
 
-    Similar lines share two words at least among the first n - ceil(t n) + 2, so groups are parted by a second word of these."""
-    second = found.where("prefix IS NOT NULL").join(big.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("prefix").alias("prefix"))
-    rows = big.join(second, "digest").select(F.col("word").bitwiseAND(F.lit(_UNSALTED)).alias("word"), F.shiftright("sized", 32).alias("n"), F.col("sized").bitwiseAND(F.lit(2**32 - 1)).alias("at"), "digest", "m1", "m2", "doc", "line", "more", F.posexplode("prefix").alias("place", "other")).where("place <> at")
-    x, y = rows.alias("x"), rows.where("more > 0").join(matched.select("digest").distinct(), "digest", "left_anti").alias("y")
+    Similar lines share two words at least among the first n - ceil(t n) + 2; the first one they share is that of a group
+    of both, so groups are parted by the words that come later."""
+    met = scratch.write(big.join(late.select("word").distinct(), "word", "left_semi"), "met")
+    asked = scratch.write(met.select("digest").distinct(), "asked")
+    prefixes = scratch.write(found.where("prefix IS NOT NULL").select("digest", "prefix").join(asked, "digest").groupBy("digest").agg(F.first("prefix").alias("prefix")), "prefixes")
+
+    def parted(rows: DataFrame) -> DataFrame:
+        rows = rows.join(prefixes, "digest").withColumns({"n": F.shiftright("sized", 32), "at": F.col("sized").bitwiseAND(F.lit(2**32 - 1)).cast("int")})
+        return rows.select("word", "n", "at", "digest", "m1", "m2", "doc", "line", F.explode(F.slice("prefix", F.col("at") + 2, F.size("prefix"))).alias("other"))
+
+    x, y = parted(met).alias("x"), parted(late).alias("y")
     need = F.floor((percent * (F.col("x.n") + F.col("y.n")) + 99 + percent) / (100 + percent))
     apart = sum(F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in ("m1", "m2"))
     passes = (
@@ -369,16 +378,17 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = found.groupBy("digest", "second").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("rows"))
     classes = scratch.write(classes.select("digest", "second", "p.doc", "p.own", "p.line", (F.struct("p.doc", "p.line") != F.struct("q.doc", "q.line")).alias("again"), "rows"), "classes")
     pairs = scratch.write(groups.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
-    big = groups.where("a IS NULL").drop("a", "b")
+    big = groups.where("a IS NULL").drop("a", "b").withColumn("word", F.col("word").bitwiseAND(F.lit(_UNSALTED)))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).union(big.where(F.col("more") < _LARGE).select("digest")).distinct()
-    sets = scratch.write(_sets(needed, classes, docs, rank), "sets").dropDuplicates(["digest", "second"])
+    sets = _sets(needed, classes, docs, rank, scratch, "sets")
     matched = scratch.write(_later(pairs, sets, percent), "matched")
     # Those that may have more candidates and are still without an earlier match.
-    if not big.where("more > 0").isEmpty():
-        rest = scratch.write(_rest(big, found, matched, percent).join(pairs, ["a", "b"], "left_anti"), "rest")
+    late = scratch.write(big.where("more > 0").join(matched.select("digest").distinct(), "digest", "left_anti"), "late")
+    if not late.isEmpty():
+        rest = scratch.write(_rest(big, late, found, percent, scratch).join(pairs, ["a", "b"], "left_anti"), "rest")
         missing = scratch.write(rest.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(sets.select("digest"), "digest", "left_anti"), "missing")
         if not missing.isEmpty():
-            sets = sets.union(scratch.write(_sets(missing, classes, docs, rank), "more_sets").dropDuplicates(["digest", "second"]))
+            sets = sets.union(_sets(missing, classes, docs, rank, scratch, "more_sets"))
         matched = scratch.write(matched.union(_later(rest, sets, percent)).distinct(), "all_matched")
     gone = _gone(found, classes, matched, scratch)
     scratch.drop_all_but(gone)
