@@ -38,6 +38,7 @@ from .words import Texts, Words, chunks, mix
 #: Buckets of word hashes that are counted: a bounded table, whatever the corpus.
 BITS = 18
 BUCKETS = 1 << BITS
+PARTS = 64
 #: Classes of a word's group that are held against one another at once.
 SMALL = 2_048
 #: Candidates that a class gets from a group at first; where there may be more, they are looked for once these have failed.
@@ -118,10 +119,22 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 total += np.bincount((Words(Texts(part["text"], lower=True)).hashes() >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["bucket", "words"])
+        counts = total.reshape(PARTS, -1)
+        used = np.flatnonzero(counts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([counts[i].tobytes() for i in used], pa.binary())], ["part", "counts"])
 
-    counted = only(docs, "text").mapInArrow(run, "bucket int, words long").groupBy("bucket").agg(F.sum("words").alias("words")).toArrow()
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch["part"].to_pylist(), batch["counts"].to_pylist()):
+                own = np.frombuffer(counts, np.int64)
+                total[part] = total[part] + own if part in total else own
+        for part, counts in total.items():
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(used + part * (BUCKETS // PARTS), pa.int64()), pa.array(counts[used])], ["bucket", "words"])
+
+    # A task sends its counts as PARTS arrays; each task after the exchange holds sums alone.
+    counted = only(docs, "text").mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(summed, "bucket long, words long").toArrow()
     bucket, words = counted["bucket"].to_numpy(), counted["words"].to_numpy()
     order = np.lexsort((bucket, words))
     place = np.arange(len(order)) * 65_535 // max(1, len(order))
@@ -180,11 +193,22 @@ def _passes(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent:
 
 
 def _in_groups(percent: int, frequent: int):
-    """Rows sorted by (word, sized, digest, doc, line) -> candidate pairs (a before b in the corpus), and the rows of large groups."""
+    """Rows sorted by word -> candidate pairs (a before b in the corpus), and the rows of large groups."""
 
     def before(doc, line, other_doc, other_line):
         return (doc < other_doc) | (doc == other_doc) & (line < other_line)
 
+    def in_order(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Sorted by (word, sized, digest, doc, line). Words are in runs already, so they are numbered; few rows tie on the first two."""
+        run = np.cumsum(np.diff(rows["word"], prepend=rows["word"][:1]) != 0)
+        order = np.lexsort((rows["sized"], run))
+        run, sized = run[order], rows["sized"][order]
+        same = (run[1:] == run[:-1]) & (sized[1:] == sized[:-1])
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        own = order[tied]
+        order[tied] = own[np.lexsort((rows["line"][own], rows["doc"][own], rows["digest"][own], sized[tied], run[tied]))]
+        return {k: v[order] for k, v in rows.items()}
+
     def of_groups(rows: dict[str, np.ndarray], hub: dict | None, goes_further: bool) -> tuple[list[dict[str, np.ndarray]], dict | None]:
         """Output for whole groups of one row a class, but that the first may continue the large group of `hub`, and the last is large and goes on if it `goes_further`."""
         word = rows["word"]
@@ -241,7 +265,7 @@ def _in_groups(percent: int, frequent: int):
 
         def settle(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, hub
-            rows = {k: np.concatenate([h[k] for h in held]) for k in _ROW}
+            rows = in_order({k: np.concatenate([h[k] for h in held]) for k in _ROW})
             # A class counts once in a group, by its first place; so the group's size is that of its classes.
             again = np.zeros(len(rows["word"]), bool)
             again[1:] = (rows["word"][1:] == rows["word"][:-1]) & (rows["digest"][1:] == rows["digest"][:-1])
@@ -322,28 +346,37 @@ def _later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rest(big: DataFrame, late: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of the late rows with all earlier members of their groups that share a second word with them.
-
-    Similar lines share two words at least among the first n - ceil(t n) + 2; the first one they share is that of a group
-    of both, so groups are parted by the words that come later."""
-    met = scratch.write(big.join(late.select("word").distinct(), "word", "left_semi"), "met")
-    asked = scratch.write(met.select("digest").distinct(), "asked")
-    prefixes = scratch.write(found.where("prefix IS NOT NULL").select("digest", "prefix").join(asked, "digest").groupBy("digest").agg(F.first("prefix").alias("prefix")), "prefixes")
-
-    def parted(rows: DataFrame) -> DataFrame:
-        rows = rows.join(prefixes, "digest").withColumns({"n": F.shiftright("sized", 32), "at": F.col("sized").bitwiseAND(F.lit(2**32 - 1)).cast("int")})
-        return rows.select("word", "n", "at", "digest", "m1", "m2", "doc", "line", F.explode(F.slice("prefix", F.col("at") + 2, F.size("prefix"))).alias("other"))
-
-    x, y = parted(met).alias("x"), parted(late).alias("y")
-    need = F.floor((percent * (F.col("x.n") + F.col("y.n")) + 99 + percent) / (100 + percent))
-    apart = sum(F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in ("m1", "m2"))
-    passes = (
-        (F.struct("x.doc", "x.line") < F.struct("y.doc", "y.line"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
-        & (F.col("x.n") + F.col("y.n") - apart >= 2 * need)
-    )
-    return x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.other") == F.col("y.other")) & passes).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+    """Pairs (a, b) of the late rows with all earlier members of their groups.
+
+    In large groups these share a second word: similar lines have two words at least in common among the first
+    n - ceil(t n) + 2, and the first of these is that of a group of both; so large groups are parted by the words after it."""
+
+    def passing(x: DataFrame, y: DataFrame, *keys: str) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        n = lambda side: F.shiftright(f"{side}.sized", 32)
+        left = lambda side: n(side) - F.col(f"{side}.sized").bitwiseAND(F.lit(2**32 - 1))
+        need = F.floor((percent * (n("x") + n("y")) + 99 + percent) / (100 + percent))
+        apart = sum(F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in ("m1", "m2"))
+        passes = (
+            (F.struct("x.doc", "x.line") < F.struct("y.doc", "y.line"))
+            & (100 * F.least(n("x"), n("y")) >= percent * F.greatest(n("x"), n("y")))
+            & (F.least(left("x"), left("y")) >= need)
+            & (n("x") + n("y") - apart >= 2 * need)
+        )
+        for key in keys:
+            passes = (F.col(f"x.{key}") == F.col(f"y.{key}")) & passes
+        return x.join(y, passes).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
+
+    pairs = passing(big.where(F.col("more") < _LARGE), late.where(F.col("more") < _LARGE), "word")
+    late = late.where(F.col("more") == _LARGE)
+    if not late.isEmpty():
+        met = scratch.write(big.where(F.col("more") == _LARGE).join(late.select("word").distinct(), "word", "left_semi"), "met")
+        asked = scratch.write(met.select("digest").distinct(), "asked")
+        prefixes = scratch.write(found.where("prefix IS NOT NULL").select("digest", "prefix").join(asked, "digest").groupBy("digest").agg(F.first("prefix").alias("prefix")), "prefixes")
+        place = F.col("sized").bitwiseAND(F.lit(2**32 - 1)).cast("int")
+        parted = lambda rows: rows.join(prefixes, "digest").select(*_ROW, F.explode(F.slice("prefix", place + 2, F.size("prefix"))).alias("other"))
+        pairs = pairs.union(passing(parted(met), parted(late), "word", "other"))
+    return pairs.distinct()
 
 
 def _gone(found: DataFrame, classes: DataFrame, matched: DataFrame, scratch: Scratch) -> DataFrame:
@@ -372,7 +405,7 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     is_frequent = F.shiftrightunsigned("word", 48) >= frequent
     salt = F.shiftleft(F.pmod(F.xxhash64("digest"), F.lit(SALTS)), _SALT_BIT)
     rows = rows.select(F.when(is_frequent, F.col("word").bitwiseXOR(salt)).otherwise(F.col("word")).alias("word"), (F.shiftleft("n", 32) + F.col("at")).alias("sized"), "digest", "m1", "m2", "doc", "line")
-    groups = scratch.write(rows.repartition("word").sortWithinPartitions("word", "sized", "digest", "doc", "line").mapInArrow(_in_groups(percent, frequent), _CANDIDATE), "groups")
+    groups = scratch.write(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_in_groups(percent, frequent), _CANDIDATE), "groups")
 
     place = F.struct("doc", "line", "own")
     classes = found.groupBy("digest", "second").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("rows"))
@@ -401,7 +434,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     text, doc = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
     gone = later_matches(docs, percent)
     row_doc, row_own = _row_of(doc, text)
-    joined = docs.toDF(*names).join(gone.hint("merge"), (row_doc == F.col("doc")) & (row_own == F.col("own")), "left")
+    joined = docs.toDF(*names).join(gone.hint("shuffle_hash"), (row_doc == F.col("doc")) & (row_own == F.col("own")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
