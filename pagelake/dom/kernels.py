@@ -11,6 +11,7 @@ from .markdown import html_to_markdown
 from .parser import Node, body_of, parse
 from .selectors import SelectorError, compile_selector, first, select
 
+# What counts as a next link, a pagination region, a feed, a control, and hidden.
 _PAGINATION = 'a[rel="next"], link[rel="next"]'
 _REGION = '[class*="pagination" i], [class*="pager" i], nav[aria-label*="page" i]'
 _FEED = '[class*="infinite" i], [data-infinite], [class*="feed" i], [aria-busy="true"]'
@@ -102,7 +103,7 @@ def listing_facts(html: str | None, url: str | None) -> dict:
 
 
 SPEC_FACTS = (
-    "bad_excludes ARRAY<STRING>, bad_links BOOLEAN, container STRING, container_chars INT, hrefs ARRAY<STRUCT<url:STRING, text:STRING>>, pattern_ok BOOLEAN, "
+    "bad_excludes ARRAY<STRING>, bad_links BOOLEAN, container STRING, container_chars INT, hrefs ARRAY<STRUCT<url:STRING, text:STRING, fits:BOOLEAN>>, pattern_ok BOOLEAN, "
     "content STRING, content_chars INT, paging STRING, text_found BOOLEAN, next_rel STRING, next_selected STRING, html_length INT"
 )
 
@@ -118,6 +119,20 @@ def _state(root: Node, selector: str | None) -> tuple[str | None, Node | None]:
     return ("missing", None) if node is None else ("found", node)
 
 
+def href_pattern(source: str | None) -> re.Pattern | None:
+    """A pattern of the web's dialect, compiled; null if it is none. Named groups are written (?<name>...) there, and only there."""
+    if source is None or "(?P" in source:
+        return None
+    try:
+        return re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", source), re.ASCII)
+    except (re.error, RecursionError, OverflowError):
+        return None
+
+
+def url_path(url: str | None) -> str:
+    return urlsplit(url).path or "/" if url else ""
+
+
 def spec_facts(html: str | None, url: str | None, spec: dict | None) -> dict:
     """What a spec's selectors find on a page. The next page is looked for on the whole page, the rest outside the excluded regions."""
     spec = spec or {}
@@ -130,24 +145,23 @@ def spec_facts(html: str | None, url: str | None, spec: dict | None) -> dict:
 
     bad = without(root, listing.get("exclude_selectors"))
     container, scope = _state(root, listing.get("container_selector"))
+    # The pattern is judged and applied here, by one engine.
+    pattern = href_pattern(listing.get("article_link_href_pattern") or "")
     bad_links, hrefs = False, []
     try:
         for node in select(scope if scope is not None else root, listing.get("article_link_selector") or "["):
-            hrefs.append({"url": resolve(url, node.attrs.get("href")), "text": node.text().strip() or None})
+            target = resolve(url, node.attrs.get("href"))
+            fits = target is not None and pattern is not None and pattern.search(url_path(target)) is not None
+            hrefs.append({"url": target, "text": node.text().strip() or None, "fits": fits})
     except SelectorError:
         bad_links = True
-    try:
-        re.compile(listing.get("article_link_href_pattern") or "")
-        pattern_ok = True
-    except re.error:
-        pattern_ok = False
     content_state, found = _state(root, article.get("content_selector"))
     state, _ = _state(root, paging.get("selector"))
     patterns = paging.get("text_patterns") or []
     text_found = bool(patterns) and any(p in n.text() for n in select(root, "button, a, [role='button']") for p in patterns)
     return {
         "bad_excludes": bad, "bad_links": bad_links, "container": container, "container_chars": len(scope.text().strip()) if scope is not None else None,
-        "hrefs": hrefs, "pattern_ok": pattern_ok, "content": content_state, "content_chars": len(found.text().strip()) if found is not None else 0,
+        "hrefs": hrefs, "pattern_ok": pattern is not None, "content": content_state, "content_chars": len(found.text().strip()) if found is not None else 0,
         "paging": state, "text_found": text_found, "next_rel": next_rel, "next_selected": next_selected, "html_length": len(html or ""),
     }
 
@@ -156,7 +170,9 @@ ARTICLE = "STRUCT<title:STRING, author:STRING, published_at:STRING, tags:ARRAY<S
 
 
 def article(html: str | None, url: str | None, spec: dict | None = None, title_hint: str | None = None) -> dict:
-    """Metadata, body and Markdown of an article page; error says why there is no body. Never raises on content."""
+    """Metadata, body and Markdown of an article page; error says why there is no body.
+
+    The body is what the spec's selector finds, else the main content, else the first article, main or body with text."""
     spec_article = (spec or {}).get("article") or {}
     meta = spec_article.get("metadata_selectors") or {}
     root = parse(html)
@@ -186,11 +202,12 @@ def article(html: str | None, url: str | None, spec: dict | None = None, title_h
         state, node = _state(root, spec_article.get("content_selector"))
         body = node.inner_html() if node is not None else ""
     if not body:
-        plain = {name: node.inner_html() for name in ("main", "article") if (node := first(root, name)) is not None}
-        body = content.main_content(root) or plain.get("article") or plain.get("main") or ""
+        plain = {name: node.inner_html() for name in ("article", "main") if (node := first(root, name)) is not None}
+        whole = body_of(root)
+        body = content.main_content(root) or plain.get("article") or plain.get("main") or (whole.inner_html() if whole.text().strip() else "")
     out = {"title": title, "author": author, "published_at": date, "tags": tags, "body_html": body, "markdown": None, "excerpt": short, "error": None}
     if not body.strip():
-        return out | {"body_html": None, "error": f"Article extraction produced empty content for {url}"}
+        return out | {"body_html": None, "error": f"nothing to extract at {url}"}
     return out | {"markdown": html_to_markdown(body)}
 
 

@@ -6,8 +6,9 @@ lines collapse; these are this module's own choices, in the common style."""
 from __future__ import annotations
 
 import re
+import sys
 
-from .parser import Node, body_of, parse
+from .parser import DEPTH, Node, body_of, parse
 
 DROPPED = frozenset("script style nav footer iframe noscript template head".split())
 _BLOCK = frozenset("address article aside blockquote body details div dl dt dd fieldset figure figcaption form h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section table ul".split())
@@ -141,4 +142,6 @@ def _tidy(text: str) -> str:
 
 
 def html_to_markdown(html: str | None) -> str:
+    # A level of the tree, of which the parser bounds the number, takes four calls.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEPTH))
     return _tidy(_inline(body_of(parse(html))))

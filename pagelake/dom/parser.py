@@ -25,6 +25,8 @@ ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
+#: Elements open at once; deeper ones become children of the last. Equal formatting elements, and all of them, that go on across blocks.
+DEPTH, EQUAL, CARRIED = 400, 3, 24
 SCOPE = frozenset("html body table td th caption button object template".split())
 
 
@@ -136,6 +138,8 @@ class _Builder(HTMLParser):
         """Formatting elements that a block's end closed go on in the next text."""
         closed = [f for f in self.formatting if f not in self.open]
         for old in closed:
+            if len(self.open) >= DEPTH:
+                return
             new = Node(old.tag, dict(old.attrs), self.open[-1])
             self.open.append(new)
             self.formatting[self.formatting.index(old)] = new
@@ -169,10 +173,17 @@ class _Builder(HTMLParser):
         if self.body is not None and tag not in ENDS_P and tag not in ENDS and tag not in HEAD:
             self._reopen()
         node = Node(tag, own, self.open[-1])
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
             if tag in FORMATTING:
-                self.formatting.append(node)
+                self._carry(node)
+
+    def _carry(self, node: Node) -> None:
+        equal = [f for f in self.formatting if f.tag == node.tag and f.attrs == node.attrs]
+        for old in [*equal[: max(0, len(equal) - EQUAL + 1)], *self.formatting[: max(0, len(self.formatting) - CARRIED + 1)]]:
+            if old in self.formatting:
+                self.formatting.remove(old)
+        self.formatting.append(node)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)

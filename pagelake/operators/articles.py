@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from .. import schemas
 from ..dom import kernels
-from ..sources.pages import per_page
+from ..sources.pages import of_pages, per_page
 
 NAME_LENGTH = 100
 
@@ -20,7 +20,9 @@ def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """pages(page_id, final_url, html[, spec, title_hint]) -> `keep` and article; one parse per page, failures are values."""
     keep = keep or ["page_id", "final_url"]
     inputs = [c for c in ("final_url", "html", "spec", "title_hint") if c in pages.columns]
-    return per_page(pages, keep, lambda r: {"article": kernels.article(r["html"], r["final_url"], r.get("spec"), r.get("title_hint"))}, f"article {kernels.ARTICLE}", inputs)
+    nothing = dict.fromkeys(("title", "author", "published_at", "tags", "body_html", "markdown", "excerpt"))
+    failed = lambda r, error: {"article": nothing | {"error": f"{type(error).__name__}: {error}"}}
+    return per_page(pages, keep, lambda r: {"article": kernels.article(r["html"], r["final_url"], r.get("spec"), r.get("title_hint"))}, f"article {kernels.ARTICLE}", inputs, failed)
 
 
 def fetched(refs: DataFrame, pages: DataFrame, least_status: int | None = None) -> DataFrame:
@@ -30,7 +32,9 @@ def fetched(refs: DataFrame, pages: DataFrame, least_status: int | None = None)
     from ..functions.urls import normalize_loose
 
     own = pages if least_status is None else pages.where(F.col("status") < least_status)
-    found = own.select(normalize_loose(F.col("final_url")).alias("url"), "page_id", "html").groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    # Only keys meet; the HTML of the pages that are asked for comes last.
+    places = own.select(normalize_loose(F.col("final_url")).alias("url"), "page_id").join(refs.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    found = of_pages(places, own, "url")
     return refs.join(found, "url", "left")
 
 
@@ -116,9 +120,4 @@ def write_files(made: DataFrame, path: str) -> int:
     return done or 0
 
 
-def single_spec() -> Column:
-    """The spec of a page that is taken as an article by itself."""
-    return F.lit(None).cast(schemas.SPEC)
-
-
-__all__ = ["extract", "fetched", "file_base", "files", "frontmatter", "outcomes", "single_spec", "summary", "unique_names", "write_files", "write_table"]
+__all__ = ["extract", "fetched", "file_base", "files", "frontmatter", "outcomes", "summary", "unique_names", "write_files", "write_table"]

@@ -25,8 +25,7 @@ def next_url(spec: Column, current: Column, next_rel: Column, next_selected: Col
 
 def page_refs(facts: DataFrame, keep: list[str]) -> DataFrame:
     """Rows of spec facts -> `keep` and refs: the page's distinct matching links in order, with their texts."""
-    safe = F.when(F.col("pattern_ok"), F.col("spec.listing.article_link_href_pattern")).otherwise(F.lit("(?!)"))
-    clean = F.filter(F.transform("hrefs", lambda h: F.struct(urls.normalize_loose(h["url"]).alias("url"), h["text"].alias("title_hint"))), lambda r: r["url"].isNotNull() & F.coalesce(F.rlike(urls.path(r["url"]), safe), F.lit(False)))
+    clean = F.filter(F.transform(F.filter("hrefs", lambda h: h["fits"]), lambda h: F.struct(urls.normalize_loose(h["url"]).alias("url"), h["text"].alias("title_hint"))), lambda r: r["url"].isNotNull())
     distinct = F.filter(clean, lambda r, i: F.array_position(F.transform(clean, lambda x: x["url"]), r["url"]) == i + 1)
     return facts.withColumn("refs", F.when(F.col("bad_links"), F.slice(distinct, 1, 0)).otherwise(distinct)).select(*keep, "refs")
 
@@ -36,7 +35,8 @@ def walk(listings: DataFrame, pages: DataFrame, max_iterations: int = schemas.MA
 
     A page that isn't in the table of pages, or is the page itself, ends the walk; so does a stopping rule, for which a
     walk carries the URLs it has seen and its counts of steps without progress."""
-    by_url = pages.select(F.col("final_url").alias("_u"), F.col("html").alias("_h"), "page_id").groupBy("_u").agg(F.min_by("_h", "page_id").alias("_h"))
+    # Keys of pages by URL, written once; a step looks up its few URLs there and fetches their HTML alone.
+    by_url = None
     state = ["seen", "dups", "unchanged", "signature"]
     frontier = listings.select("listing_id", "final_url", "html", "spec", F.array().cast("array<string>").alias("seen"), F.lit(0).alias("dups"), F.lit(0).alias("unchanged"), F.lit("").alias("signature"))
     steps = None
@@ -57,7 +57,10 @@ def walk(listings: DataFrame, pages: DataFrame, max_iterations: int = schemas.MA
             going = going.where(F.size("seen") < limit)
         if i == max_iterations or going.isEmpty():
             break
-        frontier = going.join(by_url, F.col("next_url") == F.col("_u")).select("listing_id", F.col("next_url").alias("final_url"), F.col("_h").alias("html"), "spec", *state)
+        if by_url is None:
+            by_url = checkpoint(pages.groupBy(F.col("final_url").alias("next_url")).agg(F.min("page_id").alias("page_id")))
+        reached = going.select("listing_id", "next_url", "spec", *state).join(by_url, "next_url").withColumnRenamed("next_url", "final_url")
+        frontier = sources.of_pages(reached, pages, "listing_id", "final_url", "spec", *state)
     return steps
 
 

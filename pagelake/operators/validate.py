@@ -15,11 +15,9 @@ def issue(when: Column, code: str, message: Column | str, selector: Column | Non
     return F.when(F.coalesce(when, F.lit(False)), made)
 
 
-def link_stats(hrefs: Column, pattern: Column, pattern_ok: Column) -> tuple[Column, Column, Column]:
-    """Links, links whose path fits the pattern, and distinct URLs among these. An invalid pattern fits nothing and is never compiled."""
-    safe = F.when(pattern_ok, pattern).otherwise(F.lit("(?!)"))
-    clean = F.filter(F.transform(hrefs, lambda h: urls.normalize_loose(h["url"])), lambda u: u.isNotNull())
-    matching = F.filter(clean, lambda u: F.coalesce(F.rlike(urls.path(u), safe), F.lit(False)))
+def link_stats(hrefs: Column) -> tuple[Column, Column, Column]:
+    """Links, links whose path fits the pattern, and distinct URLs among these."""
+    matching = F.filter(F.transform(F.filter(hrefs, lambda h: h["fits"]), lambda h: urls.normalize_loose(h["url"])), lambda u: u.isNotNull())
     return F.size(hrefs), F.size(matching), F.size(F.array_distinct(matching))
 
 
@@ -44,7 +42,7 @@ def validate(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     facts = sources.spec_facts(pages, list(dict.fromkeys([*keep, "spec"])))
     listing, article, paging = F.col("spec.listing"), F.col("spec.article"), F.col("spec.pagination")
     link, pattern, container = listing["article_link_selector"], listing["article_link_href_pattern"], listing["container_selector"]
-    n_links, n_matching, n_unique = link_stats(F.col("hrefs"), pattern, F.col("pattern_ok"))
+    n_links, n_matching, n_unique = link_stats(F.col("hrefs"))
     facts = facts.withColumns({"n_links": n_links, "n_matching": n_matching, "n_unique": F.when(F.col("pattern_ok"), n_unique).otherwise(0)})
     good = ~F.col("bad_links")
     bad = F.transform("bad_excludes", lambda s: F.struct(F.lit("error").alias("severity"), F.lit("invalid-exclude-selector").alias("code"), F.concat(F.lit("exclude selector is invalid: "), s).alias("message"), s.alias("selector")))

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from .. import schemas
 from ..dom import kernels
 from ..functions.urls import needs_rendering
+from ..operators.lineage import checkpoint
 
 #: Rows parsed before their facts are sent on.
 STEP = 64
@@ -71,8 +72,10 @@ def render_plan(pages: DataFrame) -> DataFrame:
     return pages.withColumn("render", F.coalesce(wants, F.lit(False)))
 
 
-def per_page(rows: DataFrame, keep: list[str], kernel: Callable[[dict], list[dict] | dict], added: str, inputs: list[str]) -> DataFrame:
-    """kernel(row of inputs) -> one or many rows with the `added` columns, beside the columns `keep`; map-only."""
+def per_page(rows: DataFrame, keep: list[str], kernel: Callable[[dict], list[dict] | dict], added: str, inputs: list[str], failed: Callable[[dict, Exception], list[dict] | dict] | None = None) -> DataFrame:
+    """kernel(row of inputs) -> one or many rows with the `added` columns, beside the columns `keep`; map-only.
+
+    failed: what a row gives on which the kernel fails. By default it is taken as a page without HTML, so that no page ends the job."""
     need = list(dict.fromkeys([*keep, *inputs]))
     ready = rows.select(*need)
     schema = StructType([*ready.select(*keep).schema.fields, *StructType.fromDDL(added).fields])
@@ -83,7 +86,10 @@ def per_page(rows: DataFrame, keep: list[str], kernel: Callable[[dict], list[dic
             for at in range(0, batch.num_rows, STEP):
                 out = []
                 for row in batch.slice(at, STEP).to_pylist():
-                    made = kernel(row)
+                    try:
+                        made = kernel(row)
+                    except Exception as error:  # noqa: BLE001  a page that can't be read is a result
+                        made = failed(row, error) if failed is not None else kernel(row | {"html": None})
                     own = {k: row[k] for k in keep}
                     out += [own | m for m in ([made] if isinstance(made, dict) else made)]
                 # An element with very many rows is sent on in parts.
@@ -93,6 +99,19 @@ def per_page(rows: DataFrame, keep: list[str], kernel: Callable[[dict], list[dic
     return ready.mapInArrow(run, schema)
 
 
+#: Rows of keys that are sent to all tasks at most.
+FEW = 50_000
+
+
+def of_pages(keys: DataFrame, pages: DataFrame, *keep: str) -> DataFrame:
+    """keys(page_id, ...) -> the columns `keep` with the html of each page.
+
+    The keys are written first and counted: few ones go to where the pages are, so that no HTML moves; more are joined."""
+    keys = checkpoint(keys.select("page_id", *keep))
+    few = keys.limit(FEW + 1).count() <= FEW
+    return pages.select("page_id", "html").join(F.broadcast(keys) if few else keys, "page_id").select(*keep, "html")
+
+
 def dom_nodes(pages: DataFrame) -> DataFrame:
     """The relation of all elements of all pages."""
     added = schemas.NODES.split(", ", 1)[1]
