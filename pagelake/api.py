@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import schemas
 from .operators import articles, cache, collect, resolve, validate
 from .operators.lineage import checkpoint
+from .sources.pages import of_pages
 
 
 def positive(name: str, value: int | None) -> int | None:
@@ -37,10 +38,12 @@ class Download:
     summary: DataFrame
     collection: DataFrame | None = None
     resolution: DataFrame | None = None
+    #: The cache after the run: hits and failures counted, new specs saved.
+    entries: DataFrame | None = None
 
 
 def _listings(listings: DataFrame, resolution: DataFrame) -> DataFrame:
-    return listings.select(F.col("page_id").alias("listing_id"), "final_url", "html").join(resolution.where("spec IS NOT NULL").select(F.col("page_id").alias("listing_id"), "spec"), "listing_id")
+    return of_pages(resolution.where("spec IS NOT NULL").withColumn("listing_id", F.col("page_id")), listings, "listing_id", "final_url", "spec")
 
 
 def inspect(listings: DataFrame, pages: DataFrame | None = None, entries: DataFrame | None = None, as_of: Column | None = None, refresh: bool = False, provider: Callable[[str], str] | None = None, spec: DataFrame | None = None) -> Inspection:
@@ -51,8 +54,9 @@ def inspect(listings: DataFrame, pages: DataFrame | None = None, entries: DataFr
         from .operators import specs
 
         given = specs.parse_specs(spec).select("spec", "spec_error")
-        # The spec is one row.
-        applied = listings.join(F.broadcast(given.limit(1)), how="inner", on=F.lit(True))
+        if given.limit(2).count() != 1:
+            raise ValueError("spec must have one row")
+        applied = listings.join(F.broadcast(given), how="inner", on=F.lit(True))
         checked = validate.validate(applied.where("spec IS NOT NULL").select("page_id", "final_url", "html", "spec"))
         resolution = applied.select("page_id", "final_url", "spec", "spec_error").join(checked, "page_id", "left")
         resolution = resolution.select("page_id", "final_url", F.lit("given").alias("source"), F.when(F.col("valid"), F.col("spec")).alias("spec"), F.coalesce("valid", F.lit(False)).alias("valid"), "issues", F.col("spec_error").alias("error"))
@@ -72,10 +76,11 @@ def extract_articles(pages: DataFrame) -> Download:
     return Download(files, done, articles.summary(done))
 
 
-def download(listings: DataFrame, pages: DataFrame, entries: DataFrame | None = None, as_of: Column | None = None, limit: int | None = None, max_iterations: int = schemas.MAX_ITERATIONS, refresh: bool = False, provider: Callable[[str], str] | None = None, current_page: bool = False, least_status: int | None = None) -> Download:
+def download(listings: DataFrame, pages: DataFrame, entries: DataFrame | None = None, as_of: Column | None = None, limit: int | None = None, max_iterations: int = schemas.MAX_ITERATIONS, refresh: bool = False, provider: Callable[[str], str] | None = None, current_page: bool = False, least_status: int | None = None, cache_path: str | None = None) -> Download:
     """Articles of listing pages: resolve, collect links, fetch their pages from the table, extract, name and render.
 
-    A listing that doesn't resolve is taken as an article itself."""
+    A listing that doesn't resolve is taken as an article itself. cache_path: a folder of cache generations that entries
+    are read from, unless given, and that the renewed ones are written to; so a second run resolves from the cache."""
     positive("limit", limit)
     positive("max_iterations", max_iterations)
     if current_page:
@@ -84,16 +89,23 @@ def download(listings: DataFrame, pages: DataFrame, entries: DataFrame | None =
         return extract_articles(listings)
     limit = limit or schemas.DEFAULT_LIMIT
     as_of = as_of if as_of is not None else F.current_timestamp()
-    resolution = checkpoint(resolve.resolve(listings, entries if entries is not None else cache.empty(listings.sparkSession), as_of, refresh, provider))
+    spark = listings.sparkSession
+    if entries is None:
+        entries = cache.load(spark, cache_path) if cache_path else cache.empty(spark)
+    resolution = checkpoint(resolve.resolve(listings, entries, as_of, refresh, provider))
+    entries = checkpoint(cache.renewed(entries, resolution, as_of))
+    if cache_path:
+        cache.store(entries, cache_path)
     own = _listings(listings, resolution)
     collection = checkpoint(collect.collect(own, pages, limit, max_iterations))
     refs = collection.select("listing_id", F.posexplode("links").alias("pos", "link")).select("listing_id", F.col("pos").cast("long").alias("pos"), "link.url", "link.title_hint")
-    refs = refs.join(own.select("listing_id", "spec"), "listing_id")
+    refs = refs.join(resolution.select(F.col("page_id").alias("listing_id"), "spec"), "listing_id")
     found = articles.fetched(refs, pages, least_status)
     made = articles.extract(found.where("html IS NOT NULL").withColumn("final_url", F.col("url")), ["listing_id", "pos", "url"])
     missing = found.where("html IS NULL").select("listing_id", "pos", "url").withColumn("article", F.lit(None).cast(made.schema["article"].dataType))
-    alone = listings.join(resolution.where("spec IS NULL").select("page_id"), "page_id").select(F.col("page_id").alias("listing_id"), F.lit(0).cast("long").alias("pos"), F.col("final_url").alias("url"), "final_url", "html")
+    alone = resolution.where("spec IS NULL").select("page_id", F.col("page_id").alias("listing_id"), F.lit(0).cast("long").alias("pos"), F.col("final_url").alias("url"), "final_url")
+    alone = of_pages(alone, listings, "listing_id", "pos", "url", "final_url")
     fallback = articles.extract(alone, ["listing_id", "pos", "url"])
     done = checkpoint(articles.outcomes(made.unionByName(missing).unionByName(fallback)))
     files = articles.files(done.where("status = 'saved'"), ["listing_id", "pos"])
-    return Download(files, done, articles.summary(done), collection, resolution)
+    return Download(files, done, articles.summary(done), collection, resolution, entries)

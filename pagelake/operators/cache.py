@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from .. import schemas
 from ..functions import urls
+from ..sources.pages import of_pages
+from .lineage import checkpoint
 from . import specs, validate
 
 _FILE = "cacheKey STRING, urlPattern STRING, spec STRING, generatedAt STRING, engineVersion STRING, sampleUrl STRING, hitCount INT, zeroResultCount INT, lastUsedAt STRING, validationStatus STRING"
@@ -50,11 +52,14 @@ def lookup(pages: DataFrame, cache: DataFrame, as_of: Column, refresh: bool = Fa
     Reasons in order: bypassed or absent miss, corrupt, invalid, stale, validation-failed, hit. Only entries that are good
     so far are validated, so pages without one are not parsed."""
     problem = F.col("problem") if "problem" in cache.columns else F.lit(None).cast("string")
-    entries = cache.withColumn("problem", problem).withColumn("stale", F.coalesce(is_stale(as_of, days, zero_results), F.lit(True))).select("cache_key", "spec", "problem", "stale", F.lit(not refresh).alias("found"))
-    keyed = pages.select("page_id", "final_url", "html", urls.cache_key(F.col("final_url")).alias("cache_key")).join(entries, "cache_key", "left")
+    entries = cache.withColumn("problem", problem).withColumn("stale", F.coalesce(is_stale(as_of, days, zero_results), F.lit(True))).select("cache_key", "spec", "problem", "stale", "generated_at", F.lit(not refresh).alias("found"))
+    # Of entries with one key the newest counts. Keys meet entries without HTML.
+    newest = F.row_number().over(Window.partitionBy("cache_key").orderBy(F.desc_nulls_last("generated_at"), F.to_json("spec")))
+    entries = entries.withColumn("_r", newest).where("_r = 1").drop("_r", "generated_at")
+    keyed = checkpoint(pages.select("page_id", "final_url", urls.cache_key(F.col("final_url")).alias("cache_key")).join(entries, "cache_key", "left"))
     usable = F.coalesce(F.col("found") & F.col("problem").isNull() & ~F.col("stale"), F.lit(False))
-    checked = validate.validate(keyed.where(usable).select("page_id", "final_url", "html", "spec"))
-    rows = keyed.drop("html", "final_url").withColumn("usable", usable).join(checked, "page_id", "left")
+    checked = validate.validate(of_pages(keyed.where(usable), pages, "page_id", "final_url", "spec"))
+    rows = keyed.drop("final_url").withColumn("usable", usable).join(checked, "page_id", "left")
     reason = (
         F.when(~F.coalesce("found", F.lit(False)), "miss")
         .when(F.col("problem").isNotNull(), F.col("problem"))
@@ -97,3 +102,31 @@ def save(cache: DataFrame, resolved: DataFrame, as_of: Column, version: str = sc
     both = cache.select(*new.columns).withColumn("new", F.lit(0)).unionByName(new.withColumn("new", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("cache_key").orderBy(F.desc("new"), F.desc("sample_url")))
     return both.withColumn("r", rank).where("r = 1").drop("r", "new")
+
+
+def store(entries: DataFrame, path: str) -> int:
+    """Writes the whole table as the next generation under a path, and gives its number; readers of the one before aren't disturbed."""
+    spark = entries.sparkSession
+    number = (_newest(spark, path) or 0) + 1
+    entries.select(*empty(spark).columns).write.mode("overwrite").parquet(f"{path}/generation={number}")
+    return number
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The newest generation under a path; no entries if there is none."""
+    number = _newest(spark, path)
+    return empty(spark) if number is None else spark.read.schema(schemas.CACHE).parquet(f"{path}/generation={number}")
+
+
+def _newest(spark: SparkSession, path: str) -> int | None:
+    """The highest generation that was written to its end."""
+    jvm = spark.sparkContext._jvm
+    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/generation=*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks) or []
+    return max((int(x.getPath().getParent().getName().partition("=")[2]) for x in found), default=None)
+
+
+def renewed(entries: DataFrame, resolution: DataFrame, as_of: Column, zero_results: int = schemas.ZERO_RESULTS) -> DataFrame:
+    """The cache after a run of the cascade: hits and failures counted, and specs found otherwise saved."""
+    counted = after_lookup(entries, resolution.select("cache_key", "reason"), as_of, zero_results)
+    return save(counted, resolution.where(F.col("source").isin("heuristic", "provider")), as_of)

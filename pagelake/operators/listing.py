@@ -47,7 +47,7 @@ def link_candidates(facts: DataFrame, top: int = schemas.TOP_CANDIDATES) -> Data
     return ranked.select(
         "page_id", "rank", urls.pattern_selector(F.col("pattern")).alias("selector"), urls.pattern_regex(F.col("pattern")).alias("href_pattern"), F.col("count").cast("int").alias("count"), "score",
         F.when(F.col("container.tag") != "body", F.col("container.selector")).alias("container_selector"),
-        F.concat(F.lit("Found "), F.col("count").cast("string"), F.lit(" unique links matching path pattern "), F.col("pattern")).alias("evidence"),
+        F.concat(F.col("count").cast("string"), F.lit(" different links fit "), F.col("pattern")).alias("evidence"),
         urls.last_static(F.col("pattern")).alias("static"),
     )
 
@@ -74,11 +74,11 @@ def pagination_candidates(facts: DataFrame, candidates: DataFrame, top: int = sc
 
     url = F.col("final_url")
     signals = F.array(
-        signal(F.col("rel_next").isNotNull(), "next-url", 0.95, 'Found rel="next" pagination signal', F.col("rel_next")),
-        signal(F.col("listed") & has_control(F.col("links"), F.col("controls"), F.col("static")), "auto", 0.82, "Found a clickable control structurally positioned after the article list"),
-        signal(urls.has_page_param(url), "next-url", 0.65, "Current URL already contains a page-like query parameter", template=urls.page_template(url)),
-        signal(F.col("region").isNotNull(), "next-url", 0.6, "Found pagination-like region", F.col("region")),
-        signal(F.col("feed"), "auto", 0.45, "Found feed-like DOM signal; pagination will be driven by DOM changes"),
+        signal(F.col("rel_next").isNotNull(), "next-url", 0.95, 'a link marked rel=next', F.col("rel_next")),
+        signal(F.col("listed") & has_control(F.col("links"), F.col("controls"), F.col("static")), "auto", 0.82, "a control beside the article links"),
+        signal(urls.has_page_param(url), "next-url", 0.65, "a page number in the URL's query", template=urls.page_template(url)),
+        signal(F.col("region").isNotNull(), "next-url", 0.6, "a region named for pagination", F.col("region")),
+        signal(F.col("feed"), "auto", 0.45, "marks of a feed"),
     )
     each = rows.select("page_id", F.posexplode(F.filter(signals, lambda s: s.isNotNull())).alias("order", "s")).select("page_id", "order", "s.*")
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "order"))
@@ -105,12 +105,12 @@ def analyze(facts: DataFrame) -> DataFrame:
         F.expr("named_struct('method', 'readability', 'content_selector', cast(null as string), 'metadata_selectors', cast(null as struct<title:string,author:string,published_at:string,tags:string>))").alias("article"),
         F.struct(F.coalesce("page.method", F.lit("none")).alias("method"), F.col("page.selector").alias("selector"), F.col("page.text_patterns").alias("text_patterns"), F.col("page.url_template").alias("url_template")).alias("pagination"),
         F.struct(F.lit(wait[0]).alias("after_navigation"), F.lit(wait[1]).alias("after_load_more_ms"), F.lit(wait[2]).alias("max_wait_ms")).alias("wait_strategy"),
-        F.concat(F.lit("Heuristic spec from "), F.col("link.count").cast("string"), F.lit(" repeated links at confidence "), shown).alias("evidence"),
+        F.concat(F.lit("by counting: "), F.col("link.count").cast("string"), F.lit(" links of one pattern, confidence "), shown).alias("evidence"),
     )
-    evidence = F.array(F.col("link.evidence"), F.coalesce("page.evidence", F.lit("No clear pagination signal found")), F.concat(F.lit("Overall heuristic confidence: "), shown))
+    evidence = F.array(F.col("link.evidence"), F.coalesce("page.evidence", F.lit("no sign of further pages")), F.concat(F.lit("confidence "), shown))
     return rows.select(
         "page_id", F.when(link.isNotNull(), spec).alias("spec"), "confidence", F.when(link.isNotNull(), evidence).alias("evidence"),
         F.coalesce("article_links", F.expr("array()").cast("array<struct<rank:int,selector:string,href_pattern:string,count:int,score:double,container_selector:string,evidence:string,static:string>>")).alias("article_links"),
         F.coalesce("pagination", F.expr("array()").cast(f"array<struct<rank:int,{_SIGNAL[7:]}>")).alias("pagination"),
-        F.when(link.isNull(), F.lit("No repeated article-link candidates found")).alias("error"),
+        F.when(link.isNull(), F.lit("no links of one pattern")).alias("error"),
     )

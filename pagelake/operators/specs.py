@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-#: The JSON form uses these names.
+# The names of the JSON form, and below the methods, moments and bounds that a spec may hold.
 JSON = (
     "id STRING, listing STRUCT<articleLinkSelector:STRING, articleLinkHrefPattern:STRING, containerSelector:STRING, excludeSelectors:ARRAY<STRING>>, "
     "article STRUCT<method:STRING, contentSelector:STRING, metadataSelectors:STRUCT<title:STRING, author:STRING, publishedAt:STRING, tags:STRING>>, "

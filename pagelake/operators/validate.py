@@ -26,9 +26,9 @@ def rule_issues(n_links: Column, n_matching: Column, n_unique: Column, selector:
     ok = F.lit(True) if pattern_ok is None else pattern_ok
     least = schemas.MIN_CLUSTER
     return [
-        issue(ok & (n_links < least), "article-link-count-too-low", F.concat(F.lit("article link selector matched "), n_links.cast("string"), F.lit(f" links; expected at least {least}")), selector),
-        issue(ok & (n_unique < least), "matching-url-count-too-low", F.concat(F.lit("only "), n_unique.cast("string"), F.lit(" unique URLs matched articleLinkHrefPattern")), selector),
-        issue(ok & (n_matching > 0) & (n_matching / F.greatest(n_links, F.lit(1)) < 0.5), "href-pattern-too-broad-or-mismatched", F.concat(F.lit("only "), n_matching.cast("string"), F.lit("/"), n_links.cast("string"), F.lit(" selected links matched articleLinkHrefPattern")), selector),
+        issue(ok & (n_links < least), "article-link-count-too-low", F.concat(n_links.cast("string"), F.lit(f" links selected, {least} are needed")), selector),
+        issue(ok & (n_unique < least), "matching-url-count-too-low", F.concat(n_unique.cast("string"), F.lit(f" different URLs fit the pattern, {least} are needed")), selector),
+        issue(ok & (n_matching > 0) & (n_matching / F.greatest(n_links, F.lit(1)) < 0.5), "href-pattern-too-broad-or-mismatched", F.concat(n_matching.cast("string"), F.lit(" of "), n_links.cast("string"), F.lit(" selected links fit the pattern")), selector),
     ]
 
 
@@ -45,25 +45,25 @@ def validate(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     n_links, n_matching, n_unique = link_stats(F.col("hrefs"))
     facts = facts.withColumns({"n_links": n_links, "n_matching": n_matching, "n_unique": F.when(F.col("pattern_ok"), n_unique).otherwise(0)})
     good = ~F.col("bad_links")
-    bad = F.transform("bad_excludes", lambda s: F.struct(F.lit("error").alias("severity"), F.lit("invalid-exclude-selector").alias("code"), F.concat(F.lit("exclude selector is invalid: "), s).alias("message"), s.alias("selector")))
+    bad = F.transform("bad_excludes", lambda s: F.struct(F.lit("error").alias("severity"), F.lit("invalid-exclude-selector").alias("code"), F.concat(F.lit("not a selector: "), s).alias("message"), s.alias("selector")))
     by_selector = article["method"] == "selector"
     content = article["content_selector"]
     needs = paging["method"].isin("button-click", "next-url") & ~((paging["method"] == "next-url") & paging["url_template"].isNotNull())
     rules = [
-        issue(F.col("container") == "missing", "container-selector-empty", "container selector matched no elements", container),
-        issue(F.col("container") == "invalid", "invalid-container-selector", F.concat(F.lit("container selector is invalid: "), container), container),
-        issue(F.col("bad_links"), "invalid-article-link-selector", F.concat(F.lit("article link selector is invalid: "), link), link),
-        issue(good & ~F.col("pattern_ok"), "invalid-href-pattern", F.concat(F.lit("articleLinkHrefPattern is invalid: "), pattern)),
+        issue(F.col("container") == "missing", "container-selector-empty", "no such container", container),
+        issue(F.col("container") == "invalid", "invalid-container-selector", F.concat(F.lit("not a selector: "), container), container),
+        issue(F.col("bad_links"), "invalid-article-link-selector", F.concat(F.lit("not a selector: "), link), link),
+        issue(good & ~F.col("pattern_ok"), "invalid-href-pattern", F.concat(F.lit("not a pattern: "), pattern)),
         *rule_issues(F.col("n_links"), F.col("n_matching"), F.col("n_unique"), link, good & F.col("pattern_ok")),
-        issue(F.col("container_chars") == 0, "container-selector-empty-content", "container selector matched an element with no text content", container),
+        issue(F.col("container_chars") == 0, "container-selector-empty-content", "the container has no text", container),
     ]
     later = [
-        issue(by_selector & content.isNull(), "missing-content-selector", "contentSelector is required when article extraction method is selector"),
-        issue(by_selector & (F.col("content") == "invalid"), "invalid-content-selector", F.concat(F.lit("content selector is invalid: "), content), content),
-        issue(by_selector & F.col("content").isin("missing", "found") & (F.col("content_chars") < schemas.CONTENT_CHARS), "content-selector-not-plausible", F.concat(F.lit("content selector returned "), F.col("content_chars").cast("string"), F.lit(" chars")), content),
-        issue(needs & paging["selector"].isNull(), "missing-pagination-selector", F.concat(paging["method"], F.lit(" pagination requires selector or urlTemplate"))),
-        issue(needs & (F.col("paging") == "invalid"), "invalid-pagination-selector", F.concat(F.lit("pagination selector is invalid: "), paging["selector"]), paging["selector"]),
-        issue(needs & (F.col("paging") == "missing") & ~F.col("text_found"), "pagination-selector-empty", "pagination selector matched no elements", paging["selector"]),
+        issue(by_selector & content.isNull(), "missing-content-selector", "extraction by selector names no selector"),
+        issue(by_selector & (F.col("content") == "invalid"), "invalid-content-selector", F.concat(F.lit("not a selector: "), content), content),
+        issue(by_selector & F.col("content").isin("missing", "found") & (F.col("content_chars") < schemas.CONTENT_CHARS), "content-selector-not-plausible", F.concat(F.col("content_chars").cast("string"), F.lit(f" characters of content, {schemas.CONTENT_CHARS} are needed")), content),
+        issue(needs & paging["selector"].isNull(), "missing-pagination-selector", F.concat(paging["method"], F.lit(" names neither selector nor template"))),
+        issue(needs & (F.col("paging") == "invalid"), "invalid-pagination-selector", F.concat(F.lit("not a selector: "), paging["selector"]), paging["selector"]),
+        issue(needs & (F.col("paging") == "missing") & ~F.col("text_found"), "pagination-selector-empty", "no such control", paging["selector"]),
     ]
     given = lambda some: F.array_compact(F.array(*some))
     # Invalid exclusions are told when the regions are removed and once more when they are checked.

@@ -10,11 +10,10 @@ from pyspark.sql.window import Window
 
 from .. import api, schemas
 from ..functions import urls
-from ..operators import articles, cache, collect, listing, snapshot, validate
+from ..operators import articles, collect, listing, snapshot
 from ..operators.lineage import checkpoint
 from ..sources import pages as sources
-
-AS_OF = "2026-06-01 00:00:00"
+from . import sites
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,17 +39,6 @@ p AS (SELECT *, CASE WHEN len(segs) > 0 THEN '/' || array_to_string(list_transfo
     + _DYN
     + """ THEN '*' ELSE s END), '/') END AS pattern FROM g)"""
 )
-_C = (
-    _P
-    + """, c AS (SELECT host, pattern, count(DISTINCT loose) AS n_unique, count(*) AS n_links, min(page_id) AS first_pos FROM p WHERE pattern IS NOT NULL GROUP BY host, pattern),
-t AS (SELECT host, sum(n_links) AS total FROM c GROUP BY host),
-k AS (SELECT c.*, t.total, len(list_filter(string_split(pattern, '/'), lambda s: s <> '')) AS depth FROM c JOIN t USING (host) WHERE n_unique >= 3),
-sc AS (SELECT *, least(least(n_unique / 10.0::DOUBLE, 0.45::DOUBLE) + least(n_unique / greatest(total, 1)::DOUBLE, 0.3::DOUBLE) + least(depth / 8.0::DOUBLE, 0.15::DOUBLE), 0.98::DOUBLE) AS score FROM k),
-r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY round(score, 9) DESC, n_unique DESC, first_pos) AS rank FROM sc),
-top AS (SELECT *, list_filter(string_split(pattern, '/'), lambda s: s <> '' AND s <> '*')[-1] AS static,
-  '/' || array_to_string(list_transform(list_filter(string_split(pattern, '/'), lambda s: s <> ''), lambda s: CASE WHEN s = '*' THEN '[^/]+' ELSE regexp_replace(s, '([.*+?^${}()|\\[\\]\\\\])', '\\\\\\1', 'g') END), '/') || '/?$' AS href_pattern
-  FROM r WHERE rank <= 8)"""
-)
 _TITLE = "replace(replace(replace(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 
 
@@ -87,49 +75,6 @@ def link_region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("page_id", F.col("n_links").cast("long").alias("n_links"), F.col("n_excluded").cast("long").alias("n_excluded"), F.size("links").cast("long").alias("n_kept"))
 
 
-def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the pages' own URLs: each host is taken as a listing of its pages."""
-    p = raw(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("host"), urls.normalize_loose(F.col("url")).alias("loose"), urls.path_pattern(urls.path(F.col("url"))).alias("pattern"))
-    found = p.where("pattern IS NOT NULL").groupBy("host", "pattern").agg(F.countDistinct("loose").alias("n_unique"), F.count("*").alias("n_links"), F.min("page_id").alias("first_pos"))
-    return found.withColumn("total", F.sum("n_links").over(Window.partitionBy("host"))).where(F.col("n_unique") >= schemas.MIN_CLUSTER)
-
-
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = listing.link_score(F.col("pattern"), F.col("n_unique"), F.col("total"), F.lit(False))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.round("score", 9).desc(), F.desc("n_unique"), "first_pos"))
-    return _clusters(spark, sf_dir).withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= schemas.TOP_CANDIDATES)
-
-
-def link_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).select("host", "pattern", "n_unique", "n_links")
-
-
-def link_candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir).select("host", "pattern", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-def link_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir).select("host", F.col("rank").cast("long").alias("rank"), urls.pattern_selector(F.col("pattern")).alias("selector"), urls.pattern_regex(F.col("pattern")).alias("href_pattern"))
-
-
-def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page with the best cluster of its host, and the boost of a page parameter in its URL."""
-    best = _ranked(spark, sf_dir).where("rank = 1").select("host", "score")
-    p = raw(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("host"), F.when(urls.has_page_param(F.col("url")), F.lit(0.65)).alias("paging"))
-    made = p.join(best, "host").withColumn("confidence", listing.overall_score(F.col("score"), F.col("paging")))
-    return made.select("page_id", F.round("confidence", 6).alias("confidence"), (F.round("confidence", 9) >= schemas.CONFIDENCE).alias("passes"))
-
-
-def spec_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best spec of each host against all URLs of the host."""
-    best = _ranked(spark, sf_dir).where("rank = 1").select("host", urls.pattern_selector(F.col("pattern")).alias("selector"), urls.pattern_regex(F.col("pattern")).alias("href_pattern"))
-    p = raw(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), urls.normalize_loose(F.col("url")).alias("loose"), urls.path(F.col("url")).alias("path"))
-    fits = F.rlike(F.col("path"), F.col("href_pattern"))
-    seen = p.join(best, "host").groupBy("host", "selector").agg(F.count("*").alias("n"), F.count_if(fits).alias("m"), F.countDistinct(F.when(fits, F.col("loose"))).alias("u"))
-    issues = F.array_compact(F.array(*validate.rule_issues(F.col("n"), F.col("m"), F.col("u"), F.col("selector"))))
-    return seen.select("host", F.col("n").alias("link_count"), F.col("u").alias("unique_url_count"), validate.is_valid(issues).alias("valid"), F.array_join(F.transform(issues, lambda i: i["code"]), ", ").alias("codes"))
-
-
 def link_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = raw(spark, sf_dir).select("page_id", urls.normalize_loose(F.col("url")).alias("loose"))
     return p.groupBy("loose").agg(F.min("page_id").alias("page_id"))
@@ -141,32 +86,6 @@ def link_limit_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("pos", n.cast("long")).where(F.col("pos") <= schemas.PREVIEW_LIMIT).select("host", "pos", "loose")
 
 
-_GRAPH = "VALUES ('/a', '/b'), ('/b', '/c'), ('/c', '/d'), ('/d', NULL), ('/x', '/y'), ('/y', '/x'), ('/z', '/z')"
-_WALK = f"""
-WITH RECURSIVE graph(url, next) AS ({_GRAPH}), walked(root, iter, url) AS (
-  SELECT url, 1, url FROM graph WHERE url IN ('/a', '/x', '/z')
-  UNION ALL
-  SELECT w.root, w.iter + 1, g.next FROM walked w JOIN graph g ON g.url = w.url WHERE g.next IS NOT NULL AND g.next <> w.url AND w.iter < 6
-)
-SELECT root, iter, url FROM walked"""
-
-
-def pagination_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_WALK)
-
-
-_STEPS = "VALUES (1, 1, 3), (1, 2, 0), (1, 3, 0), (1, 4, 2), (1, 5, 0), (1, 6, 0), (1, 7, 0), (2, 1, 0), (2, 2, 0), (2, 3, 0), (2, 4, 0), (2, 5, 0), (2, 6, 1)"
-
-
-def stale_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps in a row without a new link."""
-    steps = spark.sql(f"SELECT * FROM {_STEPS} AS t(listing, iter, added)")
-    order = Window.partitionBy("listing").orderBy("iter")
-    island = steps.withColumn("island", F.sum(F.when(F.col("added") > 0, 1).otherwise(0)).over(order))
-    inner = Window.partitionBy("listing", "island").orderBy("iter")
-    return island.select("listing", "iter", F.sum(F.when(F.col("added") == 0, 1).otherwise(0)).over(inner).alias("stale"))
-
-
 def new_href_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hrefs of each page that the page before it hasn't, and whether that counts as having moved on."""
     own = sources.links(pages(spark, sf_dir)).groupBy("page_id").agg(F.collect_list("href").alias("hrefs"))
@@ -193,31 +112,6 @@ def article_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _titled(spark, sf_dir).select("page_id", articles.frontmatter(a["title"], F.col("url"), a["published_at"], a["author"], a["tags"]).alias("frontmatter"))
 
 
-_ENTRIES = "VALUES ('{0}', 'verified', 0, TIMESTAMP '2026-05-20 00:00:00'), ('{1}', 'verified', 0, TIMESTAMP '2026-04-01 00:00:00'), ('{2}', 'stale', 0, TIMESTAMP '2026-05-30 00:00:00'), ('{3}', 'verified', 3, TIMESTAMP '2026-05-30 00:00:00'), ('{4}', 'verified', 2, NULL)"
-_KEYS = ("en", "de", "fr", "es", "xx")
-
-
-def _entry_sql() -> str:
-    return _ENTRIES.format(*_KEYS)
-
-
-def cache_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cache entries by the pages' first path segment: hit, stale or miss at a fixed time."""
-    entries = spark.sql(f"SELECT * FROM {_entry_sql()} AS t(cache_key, validation_status, zero_result_count, generated_at)")
-    entries = entries.withColumn("stale", cache.is_stale(F.lit(AS_OF).cast("timestamp")))
-    p = raw(spark, sf_dir).select("page_id", F.try_element_at(urls.segments(urls.path(F.col("url"))), F.lit(1)).alias("cache_key"))
-    found = p.join(entries, "cache_key", "left")
-    return found.select("page_id", F.when(F.col("stale").isNull(), "miss").when(F.col("stale"), "stale").otherwise("hit").alias("reason"))
-
-
-def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which stage resolves each page: the cache, else the heuristics of its host, else none."""
-    cached = cache_resolution(spark, sf_dir)
-    gate = confidence_gate(spark, sf_dir)
-    rows = cached.join(gate, "page_id", "left")
-    return rows.select("page_id", F.when(F.col("reason") == "hit", "cache").when(F.col("passes"), "heuristic").otherwise("none").alias("source"))
-
-
 def download_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = api.extract_articles(pages(spark, sf_dir)).summary
     return done.select("succeeded", "failed", F.size("errors").cast("long").alias("n_errors"))
@@ -232,12 +126,6 @@ def dom_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.snapshots(pages(spark, sf_dir))
 
 
-def dom_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements by tag over the relation of all nodes; of tags that the pages always write out."""
-    nodes = sources.dom_nodes(pages(spark, sf_dir)).where("tag IN ('a', 'li', 'nav', 'h1', 'article', 'footer', 'script', 'style', 'title', 'br')")
-    return nodes.groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
-
-
 def listing_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings made of the pages' own URLs, one per host, analyzed as HTML: the cluster that wins, its score and the spec's parts."""
     p = raw(spark, sf_dir).select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
@@ -260,7 +148,7 @@ SELECT h.page_id, 'a[href*="/' || list_filter(string_split(pattern, '/'), lambda
   CASE WHEN rank IS NOT NULL THEN 'main' END AS container,
   round(CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.host = h.host AND NOT contains(p.path, '/' || list_filter(string_split(r.pattern, '/'), lambda s: s <> '' AND s <> '*')[-1] || '/'))
     THEN least(score + least(0.82::DOUBLE * 0.15::DOUBLE, 0.15::DOUBLE), 0.98::DOUBLE) ELSE score END, 6) AS confidence,
-  CASE WHEN rank IS NULL THEN 'No repeated article-link candidates found' END AS error
+  CASE WHEN rank IS NULL THEN 'no links of one pattern' END AS error
 FROM h LEFT JOIN r ON r.host = h.host AND r.rank = 1"""
 )
 
@@ -282,20 +170,8 @@ ORACLES: dict[str, str] = {
       FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages))""",
     "link_region_counts": """SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>', 0, 's'), '<a href=')) AS BIGINT) AS n_excluded,
       CAST(len(regexp_extract_all(regexp_replace(html, '<nav>.*?</nav>', '', 'gs'), '<a href=')) AS BIGINT) AS n_kept FROM pages""",
-    "link_clusters": f"WITH {_C} SELECT host, pattern, n_unique, n_links FROM k",
-    "link_candidate_scores": f"WITH {_C} SELECT host, pattern, round(score, 6) AS score, rank FROM top",
-    "link_spec": f"""WITH {_C} SELECT host, rank, CASE WHEN static IS NULL THEN 'a[href]' ELSE 'a[href*="/' || static || '/"]' END AS selector, href_pattern FROM top""",
-    "confidence_gate": f"""WITH {_C}, f AS (SELECT p.page_id, least(score + CASE WHEN regexp_matches(query, '(^|&)(page|p)(=|&|$)') THEN least(0.65::DOUBLE * 0.15::DOUBLE, 0.15::DOUBLE) ELSE 0 END, 0.98::DOUBLE) AS confidence FROM p JOIN top USING (host) WHERE rank = 1)
-      SELECT page_id, round(confidence, 6) AS confidence, round(confidence, 9) >= 0.7::DOUBLE AS passes FROM f""",
-    "spec_validation": f"""WITH {_C}, v AS (SELECT p.host, count(*) AS n, count(*) FILTER (WHERE regexp_matches(p.path, href_pattern)) AS m, count(DISTINCT loose) FILTER (WHERE regexp_matches(p.path, href_pattern)) AS u
-        FROM p JOIN top ON top.host = p.host AND rank = 1 GROUP BY p.host)
-      SELECT host, n AS link_count, u AS unique_url_count, n >= 3 AND u >= 3 AND NOT (m > 0 AND m / greatest(n, 1)::DOUBLE < 0.5) AS valid,
-        array_to_string(list_filter([CASE WHEN n < 3 THEN 'article-link-count-too-low' END, CASE WHEN u < 3 THEN 'matching-url-count-too-low' END, CASE WHEN m > 0 AND m / greatest(n, 1)::DOUBLE < 0.5 THEN 'href-pattern-too-broad-or-mismatched' END], lambda x: x IS NOT NULL), ', ') AS codes FROM v""",
     "link_dedup_first": f"WITH {_P}, d AS (SELECT *, row_number() OVER (PARTITION BY loose ORDER BY page_id) AS n FROM p) SELECT loose, page_id FROM d WHERE n = 1",
     "link_limit_per_host": f"WITH {_P}, d AS (SELECT host, loose, min(page_id) AS page_id FROM p GROUP BY host, loose), n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS pos FROM d) SELECT host, pos, loose FROM n WHERE pos <= 10",
-    "pagination_walk": _WALK,
-    "stale_counter": f"""WITH s(listing, iter, added) AS ({_STEPS}), g AS (SELECT *, coalesce(max(CASE WHEN added > 0 THEN iter END) OVER (PARTITION BY listing ORDER BY iter), 0) AS last FROM s)
-      SELECT listing, iter, CAST(iter - greatest(last, 0) AS BIGINT) AS stale FROM g""",
     "new_href_diff": """WITH h AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages)
       SELECT a.page_id, CAST(len(list_distinct(list_filter(a.hrefs, lambda x: NOT list_contains(b.hrefs, x)))) AS BIGINT) AS n_new,
         len(list_filter(a.hrefs, lambda x: NOT list_contains(b.hrefs, x))) > 0 OR len(a.hrefs) > len(b.hrefs) AS moved
@@ -304,19 +180,12 @@ ORACLES: dict[str, str] = {
     "filename_unique": f"""WITH b AS (SELECT page_id, {_BASE_SQL} AS base FROM (SELECT page_id, {_TITLE} AS title FROM pages)), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id) AS k FROM b)
       SELECT page_id, base || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.md' AS filename FROM n""",
     "article_frontmatter": f"""SELECT page_id, '---' || chr(10) || 'title: "' || replace(title, '"', '\\"') || '"' || chr(10) || 'source: ' || url || chr(10) || '---' AS frontmatter FROM (SELECT page_id, url, {_TITLE} AS title FROM pages)""",
-    "cache_resolution": f"""WITH {_P}, e(cache_key, status, zeros, made) AS ({_entry_sql()})
-      SELECT page_id, CASE WHEN e.cache_key IS NULL THEN 'miss' WHEN status = 'stale' OR zeros >= 3 OR made IS NULL OR TIMESTAMP '{AS_OF}' - made > INTERVAL 30 DAY THEN 'stale' ELSE 'hit' END AS reason FROM p LEFT JOIN e ON e.cache_key = segs[1]""",
     "download_summary": """SELECT count(*) AS succeeded, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS n_errors FROM pages WHERE regexp_matches(html, '<article>')""",
-    "dom_tags": "SELECT tag, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (WHERE n > 0) AS n_pages FROM (SELECT tag, len(regexp_extract_all(html, '<' || tag || '[ >]')) AS n FROM pages, (SELECT unnest(['a', 'li', 'nav', 'h1', 'article', 'footer', 'script', 'style', 'title', 'br']) AS tag)) GROUP BY tag HAVING sum(n) > 0",
     "listing_analysis": _LISTING_SQL,
 }
-ORACLES["resolve_cascade"] = (
-    f"WITH c0 AS ({ORACLES['cache_resolution']}), f0 AS ({ORACLES['confidence_gate']}) SELECT c0.page_id, CASE WHEN reason = 'hit' THEN 'cache' WHEN passes THEN 'heuristic' ELSE 'none' END AS source FROM c0 LEFT JOIN f0 ON f0.page_id = c0.page_id"
-)
-
 _QUERIES = (
-    url_normalize, url_path_pattern, url_cache_key, next_page_url, render_decision, html_links, link_region_counts, link_clusters, link_candidate_scores, link_spec, confidence_gate, spec_validation, link_dedup_first,
-    link_limit_per_host, pagination_walk, stale_counter, new_href_diff, article_title, filename_unique, article_frontmatter, cache_resolution, resolve_cascade, download_summary, article_markdown, dom_snapshot, dom_tags, listing_analysis,
+    url_normalize, url_path_pattern, url_cache_key, next_page_url, render_decision, html_links, link_region_counts, link_dedup_first, link_limit_per_host, new_href_diff, article_title, filename_unique, article_frontmatter,
+    download_summary, article_markdown, dom_snapshot, listing_analysis, *sites.QUERIES,
 )
 
 
@@ -325,4 +194,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | sites.ORACLES

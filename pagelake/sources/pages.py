@@ -107,7 +107,7 @@ def of_pages(keys: DataFrame, pages: DataFrame, *keep: str) -> DataFrame:
     """keys(page_id, ...) -> the columns `keep` with the html of each page.
 
     The keys are written first and counted: few ones go to where the pages are, so that no HTML moves; more are joined."""
-    keys = checkpoint(keys.select("page_id", *keep))
+    keys = checkpoint(keys.select(*dict.fromkeys(["page_id", *keep])))
     few = keys.limit(FEW + 1).count() <= FEW
     return pages.select("page_id", "html").join(F.broadcast(keys) if few else keys, "page_id").select(*keep, "html")
 
