@@ -8,7 +8,7 @@ it finds is checked on the whole code and then ranked by the float inner product
 
 The rotations and the radius come from a bounded sample (SAMPLE rows, the first by a hash): the radius takes in the stated
 share of true neighbours, and is widened for a query until it has found enough. All rows are indexed, in shards of bounded
-size; each shard is searched for the distinct query vectors, which are sent to every shard in blocks, and the nearest
+size that stay where they are read; the distinct query vectors are sent to them in blocks of bounded size, and the nearest
 of all shards are merged. A stated query set against all rows in blocks is no join of all pairs.
 
 Equal vectors are one entry with its 1 + k smallest ids, which is exact: equal vectors tie, and smaller ids come first.
@@ -21,9 +21,11 @@ table gives an empty table.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,9 +34,9 @@ from .shared import Scratch, only
 
 #: Rows that the rotations and the radius are fitted on, at most.
 SAMPLE = 4_096
-#: Distinct vectors of a shard, and distinct queries of a block, about.
-SHARD = 16_384
-BLOCK = 4_096
+#: Distinct vectors of a shard at most, but for its last batch, and distinct queries of a block, about.
+SHARD = 65_536
+BLOCK = 8_192
 #: The share of true neighbours that the first radius takes in.
 SHARE = 0.98
 
@@ -72,66 +74,59 @@ def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes ^ code).sum(1, dtype=np.int64)
 
 
+@cache
 def ball(weight: int) -> np.ndarray:
     """All 16-bit values with at most so many bits set."""
-    values = np.arange(2**Codes.BITS)
+    values = np.arange(2**Codes.BITS).astype(np.uint16)
     return values[np.bitwise_count(values) <= weight]
 
 
 class Index:
-    """One table per substring: entries in the order of their value, and where each value begins."""
+    """One table per substring: the values that occur, in order, and the entries of each."""
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.m = codes, codes.shape[1]
-        self.whole = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -self.m % 4)))).view(np.uint64)
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        self.whole = _whole(codes)
+        self.tables = []
+        for j in range(self.m):
+            order = np.argsort(codes[:, j], kind="stable")
+            values, begin = np.unique(codes[order, j], return_index=True)
+            self.tables.append((order, values, np.append(begin, len(codes))))
 
     def _probe(self, code: np.ndarray, weight: int) -> np.ndarray:
-        """Entries that some substring table holds within `weight` bits of the code's substring."""
-        if not self.tables:
-            for j in range(self.m):
-                order = np.argsort(self.codes[:, j], kind="stable")
-                self.tables.append((order, np.searchsorted(self.codes[order, j], np.arange(2**Codes.BITS + 1))))
-        found = []
-        for j, (order, begin) in enumerate(self.tables):
-            values = ball(weight) ^ int(code[j])
-            a, n = begin[values], begin[values + 1] - begin[values]
-            a, n = a[n > 0], n[n > 0]
-            found.append(order[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        return np.unique(np.concatenate(found))
-
-    def within(self, asked: np.ndarray, radius: int, least: int) -> list[np.ndarray]:
-        """For each code asked: all entries within the radius, or within the first wider one that has `least` entries.
-
-        The values to probe are all those within floor(radius / m) bits. Where they are more than the entries, which
-        they are for vectors without clusters, the whole codes are compared instead; either way finds the same entries."""
-        n, out = len(self.codes), [np.zeros(0, np.int64)] * len(asked)
-        whole = np.ascontiguousarray(np.pad(asked, ((0, 0), (0, -self.m % 4)))).view(np.uint64)
-        todo = np.arange(len(asked))
-        while len(todo):
-            weight = min(radius // self.m, Codes.BITS)
-            last = radius >= self.m * Codes.BITS
-            direct = self.m * sum(math.comb(Codes.BITS, w) for w in range(weight + 1)) > n
-            rest = []
-            step = max(1, (1 << 20) // max(1, n)) if direct else 1
-            for at in range(0, len(todo), step):
-                some = todo[at : at + step]
-                if direct:
-                    away = np.zeros((len(some), n), np.uint16)
-                    for w in range(self.whole.shape[1]):
-                        away += np.bitwise_count(self.whole[:, w] ^ whole[some, w][:, None])
-                    hits = [np.flatnonzero(x) for x in away <= radius]
-                else:
-                    probed = self._probe(asked[some[0]], weight)
-                    hits = [probed[distances(self.codes[probed], asked[some[0]]) <= radius]]
-                for i, found in zip(some.tolist(), hits):
-                    if len(found) >= min(least, n) or last:
-                        out[i] = found
-                    else:
-                        rest.append(i)
-            todo = np.array(rest, np.int64)
+        """Entries that some table holds under a value within `weight` bits of the code's substring.
+
+        The values in question are looked up in the table, or, where it holds fewer than these, its own are gone through."""
+        hit = np.zeros(len(self.codes), bool)
+        reach = sum(math.comb(Codes.BITS, w) for w in range(weight + 1))
+        for j, (order, values, begin) in enumerate(self.tables):
+            if reach < len(values):
+                near = ball(weight) ^ code[j]
+                at = np.minimum(np.searchsorted(values, near), len(values) - 1)
+                at = at[values[at] == near]
+            else:
+                at = np.flatnonzero(np.bitwise_count(values ^ code[j]) <= weight)
+            first, n = begin[at], begin[at + 1] - begin[at]
+            hit[order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+        return np.flatnonzero(hit)
+
+    def within(self, code: np.ndarray, radius: int, least: int) -> np.ndarray:
+        """All entries within the radius of a code, or within the first wider one that has `least` entries.
+
+        Of two codes that differ in at most r bits, some substrings differ in at most floor(r / m): what the tables give
+        for that is checked on the whole codes."""
+        whole, least = _whole(code[None])[0], min(least, len(self.codes))
+        while True:
+            probed = self._probe(code, min(radius // self.m, Codes.BITS))
+            found = probed[np.bitwise_count(self.whole[probed] ^ whole).sum(1, dtype=np.int64) <= radius]
+            if len(found) >= least or radius >= self.m * Codes.BITS:
+                return found
             radius += self.m
-        return out
+
+
+def _whole(codes: np.ndarray) -> np.ndarray:
+    """Codes in 64-bit parts."""
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 4)))).view(np.uint64)
 
 
 def fit(vectors: np.ndarray, population: int, k: int, rotations: int = 2) -> tuple[Codes, int]:
@@ -153,8 +148,9 @@ def fit(vectors: np.ndarray, population: int, k: int, rotations: int = 2) -> tup
 def _search(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: Codes, radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, entry, score) of each query's nearest entries."""
     index = Index(codes.encode(vectors))
-    q, e, s = [], [], []
-    for i, (x, found) in enumerate(zip(queries, index.within(codes.encode(queries), radius, k + 1))):
+    q, e, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for i, (x, code) in enumerate(zip(queries, codes.encode(queries))):
+        found = index.within(code, radius, k + 1)
         score = np.einsum("ij,j->i", vectors[found], x)
         if len(found) > k + 1:
             least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
@@ -164,8 +160,11 @@ def _search(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: Co
         q.append(np.full(len(best), i))
         e.append(found[best])
         s.append(score[best])
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return join(q, np.int64), join(e, np.int64), join(s, float)
+    return np.concatenate(q), np.concatenate(e), np.concatenate(s)
+
+
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    return vectors.flatten().to_numpy().reshape(-1, width)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, rotations: int = 2) -> DataFrame:
@@ -190,20 +189,34 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, rotations: int = 2) -> Da
     sample = np.array([r[0] for r in entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").collect()], float)
     n_entries = entries.count()
     codes, radius = fit(sample, n_entries, k, rotations)
-    n_shards = max(1, math.ceil(n_entries / SHARD))
     n_blocks = max(1, math.ceil(queries.count() / BLOCK))
-    # Every (shard, block) pair is a task; queries are copied to the shards, and entries to the blocks of queries.
-    left = entries.select(F.pmod(F.xxhash64("entry"), F.lit(n_shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "entry", "v")
-    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("entry"), F.lit(n_blocks)).cast("int").alias("block"), "entry", "v")
-
-    def shard(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asking):
-            return pd.DataFrame({"query": [], "entry": [], "score": []})
-        ids = own["entry"].to_numpy()
-        q, e, s = _search(np.stack(asking["v"]), np.stack(own["v"]), ids, codes, radius, k)
-        return pd.DataFrame({"query": asking["entry"].to_numpy()[q], "entry": ids[e], "score": s})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(shard, "query long, entry long, score double")
+    own = entries.select("entry", "v")
+
+    def searched(block: int) -> DataFrame:
+        """All entries, where they are, against one block of queries, which is of bounded size and is sent there."""
+        asking = queries.where(F.pmod(F.xxhash64("entry"), F.lit(n_blocks)) == block).toArrow()
+        names, x = asking["entry"].to_numpy(), _matrix(asking["v"].combine_chunks(), widths["d"])
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+
+            def shard() -> pa.RecordBatch:
+                ids = np.concatenate([b["entry"].to_numpy() for b in held])
+                q, e, score = _search(x, np.concatenate([_matrix(b["v"], x.shape[1]) for b in held]), ids, codes, radius, k)
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[e]), pa.array(score)], ["query", "entry", "score"])
+
+            for batch in batches:
+                if batch.num_rows:
+                    held.append(batch)
+                if sum(b.num_rows for b in held) >= SHARD:
+                    yield shard()
+            if held:
+                yield shard()
+
+        return own.mapInArrow(search, "query long, entry long, score double")
+
+    found = scratch.write_all((searched(block) for block in range(n_blocks)), "found")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
     merged = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("query", "entry", "score")
     # A query's own entry holds its copies; each entry stands for its ids, the smallest first.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +37,17 @@ class Scratch:
         self.paths: list[str] = []
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
+        return self.write_all([df], name)
+
+    def write_all(self, parts: Iterable[DataFrame], name: str = "t") -> DataFrame:
+        """One table of some parts of equal schema, written in turn."""
         path, self.n = f"{self.base}/{self.n}-{name}", self.n + 1
-        schema = df.schema
         before = self.spark.conf.get(_CLEAN, None)
         self.spark.conf.set(_CLEAN, "true")
         try:
-            df.write.parquet(path)
+            for df in parts:
+                schema = df.schema
+                df.write.mode("append").parquet(path)
         finally:
             self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
         self.paths.append(path)

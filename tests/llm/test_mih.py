@@ -57,15 +57,38 @@ def test_odd_vectors(spark):
     assert run(spark, rows[:1]) == {} and run(spark, []) == {} and run(spark, rows[4:6]) == {}
 
 
-def test_probing_equals_comparing():
+def test_probing_finds_every_code_within_the_radius():
+    """Narrow balls are looked up in the tables, wide ones make the tables' own values gone through; nothing passes the tables by."""
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 2**16, (3000, 8)).astype(np.uint16)
+    codes[:40] = codes[0]
     asked = codes[:30] ^ (1 << rng.integers(0, 16, (30, 8))).astype(np.uint16)
     index = mih.Index(codes)
-    for radius in (0, 7, 8, 15):  # narrow balls are probed, wide ones compared
-        for code, found in zip(asked, index.within(asked, radius, 1)):
+    probes = []
+    original = mih.Index._probe
+    for radius in (0, 7, 8, 15, 40, 60):
+        for code in asked:
+            mih.Index._probe = lambda self, c, w: probes.append(w) or original(self, c, w)
+            try:
+                found = index.within(code, radius, 1)
+            finally:
+                mih.Index._probe = original
             away = mih.distances(codes, code)
             wide = radius
             while (away <= wide).sum() < 1:
                 wide += 8
             assert sorted(found) == np.flatnonzero(away <= wide).tolist()
+    assert len(probes) >= 6 * 30 and min(probes) == 0 and max(probes) >= 7
+
+
+def test_recall_of_the_registered_query(spark):
+    """Every query of a small table against brute force: 0.9 on the mean."""
+    from pagelake.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    want, got = brute(rows, 20), {}
+    for r in queries.op5_multi_index_hashing(spark, folder).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got.keys() == want.keys()
+    assert np.mean([len(set(got[q]) & {i for i, _ in want[q]}) / len(want[q]) for q in want]) >= 0.9
