@@ -12,7 +12,8 @@ of this kind hold them, and `read` takes files apart again.
 
 Defined results: a response whose block is null, or whose payload has no text, gets an empty conversion block. A payload
 that isn't text, HTML or XML by its content type gets only a metadata record. Bytes that don't decode are replaced, never
-dropped. Repeated rows give repeated records; extra columns are ignored; an empty table gives an empty table.
+dropped. A page of any length and however malformed takes time in proportion to its length. Repeated rows give repeated
+records; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,13 +37,14 @@ RESPONSES = "record_id string, target_uri string, date string, block binary"
 DERIVATIVES = "record_id string, type string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, source_digest string, block binary"
 _NAMES = [x.split()[0] for x in DERIVATIVES.split(", ")]
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the fixed namespace of URLs
-_DROPPED = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<![^>]*>|<\?[^>]*>", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
+_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "template", "noscript")}
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_LANGUAGE = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_BREAK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
+_OPEN = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*+)")
+_END = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
 _RUN = re.compile(r"[^\S\n]+")
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
+_LINK = re.compile(r"\bhref\s*=", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -70,12 +72,82 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], headers, payload
 
 
+class Page:
+    """What a page says: its text in pieces with a line break at each block, title, language and number of links.
+
+    One pass from tag to tag. A tag ends at the first > outside quotes; where quotes don't close, at the first > at all. The
+    looks ahead for quotes that don't close are given up once they have cost some times the page's length, so that the
+    time is in proportion to the length of any page. A tag without an end is text; an open comment or script hides the rest."""
+
+    def __init__(self, markup: str):
+        self.pieces: list[str] = []
+        self.title: str | None = None
+        self.language: str | None = None
+        self.links = 0
+        at, size, last, ahead = 0, len(markup), markup.rfind(">"), 4 * len(markup)
+        while True:
+            begin = markup.find("<", at)
+            if begin < 0:
+                break
+            if markup.startswith("<!--", begin):
+                self._text(markup[at:begin])
+                end = markup.find("-->", begin + 4)
+                if end < 0:
+                    return
+                at = end + 3
+                self.pieces.append(" ")
+                continue
+            if begin > last:
+                # No tag ends any more, but a comment may still begin.
+                comment = markup.find("<!--", begin)
+                self._text(markup[at : comment if comment >= 0 else size])
+                return
+            if markup[begin + 1] in "!?":
+                self._text(markup[at:begin] + " ")
+                at = markup.find(">", begin) + 1
+                continue
+            tag = _OPEN.match(markup, begin)
+            if tag is None:
+                self._text(markup[at : begin + 1])
+                at = begin + 1
+                continue
+            self._text(markup[at:begin])
+            end = _END.match(markup, tag.end()) if ahead > 0 else None
+            if end is None:
+                ahead -= size - begin
+            at = end.end() if end is not None else markup.find(">", begin) + 1
+            name, closing = tag[1].lower(), markup[begin + 1] == "/"
+            if name in _BREAK:
+                self.pieces.append("\n")
+            if closing:
+                continue
+            if name in _RAW:
+                close = _RAW[name].search(markup, at)
+                if close is None:
+                    return
+                at = close.end()
+                self.pieces.append(" ")
+            elif name == "a":
+                self.links += _LINK.search(markup, tag.end(), at) is not None
+            elif name == "title" and self.title is None:
+                close = _TITLE_END.search(markup, at)
+                self.title = " ".join(html.unescape(markup[at : close.start()]).split()) if close else ""
+            elif name == "html" and self.language is None and (found := _LANGUAGE.search(markup, tag.end(), at)):
+                self.language = found[1]
+        self._text(markup[at:])
+
+    def _text(self, text: str) -> None:
+        if text:
+            self.pieces.append(text.replace("\n", " ").replace("\r", " "))
+
+    def text(self) -> str:
+        lines = (_RUN.sub(" ", line).strip() for line in html.unescape("".join(self.pieces)).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
 def plain_text(markup: str) -> str:
     """Text of an HTML page: no scripts, styles or comments; a line per block; entities resolved; blank lines dropped."""
-    text = _DROPPED.sub(" ", markup)
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", text.replace("\n", " ").replace("\r", " "))))
-    lines = (_RUN.sub(" ", line).strip() for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return Page(markup).text()
 
 
 def derive(row_id: str | None, uri: str | None, date: str | None, block: bytes | None) -> list[tuple]:
@@ -97,15 +169,14 @@ def derive(row_id: str | None, uri: str | None, date: str | None, block: bytes |
         fields.append(("source-status", status))
     fields += [("source-header", f"{k}: {v}") for k, v in headers]
     if is_markup:
-        clean = _DROPPED.sub(" ", text)
-        title, language = _TITLE.search(clean), _LANGUAGE.search(clean)
-        fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-        fields += [("language", language[1])] if language else []
-        fields.append(("links", str(len(_LINK.findall(clean)))))
+        page = Page(text)
+        fields += [("title", page.title)] if page.title else []
+        fields += [("language", page.language)] if page.language else []
+        fields.append(("links", str(page.links)))
     metadata = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     made = [("metadata", "application/warc-fields", metadata)]
     if is_markup or kind.startswith("text/"):
-        made.append(("conversion", "text/plain; charset=utf-8", (plain_text(text) if is_markup else text).encode("utf-8", "replace")))
+        made.append(("conversion", "text/plain; charset=utf-8", (page.text() if is_markup else text).encode("utf-8", "replace")))
     return [(record_id(row_id, k), k, row_id, uri, date, content, digest(body), digest(body) if k == "conversion" else None, source, body) for k, content, body in made]
 
 

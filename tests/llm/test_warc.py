@@ -4,6 +4,9 @@ import base64
 import gzip
 import hashlib
 import io
+import time
+
+import pytest
 
 from pagelake.llm import warc
 
@@ -58,3 +61,16 @@ def test_pages_become_responses(spark):
     status, headers, payload = warc.split_http(bytes(rows[0].block))
     assert status == "HTTP/1.1 200 OK" and dict(headers)["Content-Length"] == str(len(payload)) and payload.decode() == "<p>é</p>"
     assert len({r.record_id for r in rows}) == 2 and len(rows[0].record_id) == 47
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<script ", "<!--", "<title>", '<a "', "<p title='", "</", "<!", "<a href=x", "&lt", "<style>"])
+@pytest.mark.parametrize("end", ["", ">", '">'])
+def test_time_grows_with_the_length(unit, end):
+    began = time.time()
+    warc.derive("r", "u", "d", (unit * (400_000 // len(unit)) + end).encode())
+    assert time.time() - began < 2
+
+
+def test_text_of_malformed_pages():
+    assert warc.plain_text("<p title=it's>a</p><p>b") == "a\nb" and warc.plain_text("1 < 2 <b>x</b> <a") == "1 < 2 x <a"
+    assert warc.plain_text('<p title="a>b">c<!-- d') == "c" and warc.plain_text("x<script>y</script >z") == "x z" and warc.plain_text("<scr") == "<scr"
