@@ -9,7 +9,8 @@ The model is fitted on a bounded sample: the SAMPLE labelled rows that come firs
 one task; the weights (DIM numbers, whatever the corpus) go to all tasks that score. Every document is scored.
 
 Defined results: a null or empty text has no features and is graded by the thresholds alone. Ratings that are null are
-left out; several ratings of one document count each. Without any rating, or with one grade only, the fit is an error.
+left out, as are negative ones; several ratings of one document count each. With one grade only, every document gets it;
+without any rating, every tail probability is a half.
 Repeated rows get equal rows; extra columns are ignored; an empty table of documents gives an empty table.
 """
 
@@ -55,12 +56,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -30, 30)))
 
 
-def fit_rows(row: np.ndarray, place: np.ndarray, value: np.ndarray, grades: np.ndarray, steps: int = 600, lasso: float = 1e-4, least_texts: int = 5, balance: float = 0.5) -> Model:
+def fit_rows(row: np.ndarray, place: np.ndarray, value: np.ndarray, grades: np.ndarray, steps: int = 600, lasso: float = 1e-4, least_texts: int = 5, balance: float = 0.5, levels: int = 2) -> Model:
     """Accelerated proximal descent on the cumulative-link likelihood; thresholds stay ordered by construction.
 
     Grades are weighted by their share to the power -balance. The lasso leaves most words without a weight.
     Places that fewer than `least_texts` texts have get no weight: they could only be learned by heart."""
-    n, levels = len(grades), int(grades.max()) + 1
+    n, levels = len(grades), max(levels, int(grades.max()) + 1)
     texts = np.bincount(place, minlength=DIM)
     used = np.flatnonzero(texts >= least_texts)
     known = texts[place] >= least_texts
@@ -97,9 +98,9 @@ def fit_rows(row: np.ndarray, place: np.ndarray, value: np.ndarray, grades: np.n
     return Model(out, free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))]))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, **options) -> Model:
-    """docs(doc_id, text), ratings(doc_id, grade: 0, 1, ...) -> a model."""
-    rated = only(ratings, "doc_id", "grade").where("grade IS NOT NULL AND doc_id IS NOT NULL")
+def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, levels: int = 2, **options) -> Model:
+    """docs(doc_id, text), ratings(doc_id, grade: 0, 1, ...) -> a model of so many grades at least."""
+    rated = only(ratings, "doc_id", "grade").where("grade >= 0 AND doc_id IS NOT NULL")
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     # The sample is of bounded size, so it may be broadcast; no text of an unrated document is shuffled.
     labelled = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
@@ -117,14 +118,15 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, **options) ->
         held = held.sort_values(["doc_id", "grade"], kind="stable")
         grades = held["grade"].to_numpy(np.int64)
         if len(np.unique(grades)) < 2:
-            raise ValueError("the ratings hold fewer than two grades")
+            only_one = np.where(np.arange(max(levels, grades[0] + 1) - 1) < grades[0], -30.0, 30.0)
+            return pd.DataFrame({"weights": [np.zeros(DIM, np.float32).tobytes()], "thresholds": [only_one.tobytes()]})
         sizes = held["places"].map(len).to_numpy()
-        model = fit_rows(np.repeat(np.arange(len(held)), sizes), np.concatenate(held["places"].to_list()).astype(np.int64), np.concatenate(held["features"].to_list()).astype(float), grades, **options)
+        model = fit_rows(np.repeat(np.arange(len(held)), sizes), np.concatenate(held["places"].to_list()).astype(np.int64), np.concatenate(held["features"].to_list()).astype(float), grades, levels=levels, **options)
         return pd.DataFrame({"weights": [model.weights.astype(np.float32).tobytes()], "thresholds": [model.thresholds.tobytes()]})
 
     found = vectors.groupBy("all").applyInPandas(train, "weights binary, thresholds binary").first()
     if found is None:
-        raise ValueError("no document is rated")
+        return Model(np.zeros(DIM), np.zeros(levels - 1))
     return Model(np.frombuffer(found["weights"], np.float32).astype(float), np.frombuffer(found["thresholds"]))
 
 

@@ -78,7 +78,7 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 2 for documents of high quality that are not toxic, 1 with one of these two, 0 with neither; kept: most likely the top grade."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = ordinal.fit(docs, labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade")))
+    model = ordinal.fit(docs, labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade")), levels=3)
     scored = ordinal.score(docs, model, ["doc_id"], least_grade=2, least=0.5)
     return scored.select("doc_id", "expected_grade", F.element_at("tails", -1).alias("tail_probability"), "kept")
 

@@ -41,12 +41,14 @@ def test_held_out_grades(spark):
     assert ordinal.score(new.limit(0), model, ["doc_id"]).count() == 0
 
 
-def test_fit_needs_two_grades(spark):
-    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    with pytest.raises(Exception, match="no document is rated"):
-        ordinal.fit(docs, spark.createDataFrame([], "doc_id long, grade int"))
-    with pytest.raises(Exception, match="fewer than two grades"):
-        ordinal.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, grade int"))
+def test_few_grades_or_none(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    of = lambda *grades: spark.createDataFrame([(1, g) for g in grades], "doc_id long, grade int")
+    tails = lambda *grades, levels=3: [list(r.tails) for r in ordinal.score(docs, ordinal.fit(docs, of(*grades), levels=levels), ["doc_id"]).collect()]
+    assert tails() == tails(None, -1) == [[0.5, 0.5]] * 2
+    assert tails(1) == [pytest.approx([1, 0])] * 2 and tails(3) == [pytest.approx([1, 1, 1])] * 2
+    assert ordinal.score(docs.limit(0), ordinal.fit(docs.limit(0), of(0, 1)), ["doc_id"]).count() == 0
+    assert len(tails(0, 2)[0]) == 2
 
 
 def test_gradient_reaches_a_better_likelihood():
