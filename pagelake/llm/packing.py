@@ -5,7 +5,7 @@ nearly full are final. The others go up a tree: at each level a bounded number o
 bins are the items of another best-fit round. Levels accept ever less full bins, and the last accepts all, so no task
 ever holds more than a block, however large the corpus is or whatever its sizes are.
 
-Defined results: a null text is empty, and an empty text is one piece of the end token alone. Only sequences longer than
+Defined results: a null doc_id stays null. A null text is empty, and an empty text is one piece of the end token alone. Only sequences longer than
 the capacity are cut. Repeated rows are packed once each; extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -142,8 +142,8 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end: int = 1, w
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     ready = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    names = [*_NAMES, "done", *(["ids"] if with_ids else [])]
-    schema = PIECE + ", done boolean" + (", ids array<int>" if with_ids else "")
+    names = [*_NAMES, "done", "known", *(["ids"] if with_ids else [])]
+    schema = PIECE + ", done boolean, known boolean" + (", ids array<int>" if with_ids else "")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end: int = 1, w
             cols = {k: np.concatenate([h[k] for h in held]) for k in _NAMES[:5]}
             bins, offsets, n = best_fit(cols["length"], capacity)
             done = np.bincount(bins, cols["length"], n) >= FULL[0] * capacity
-            out = [pa.array(cols[k]) for k in _NAMES[:5]] + [pa.array(bins + base + n_bins), pa.array(offsets), pa.array(done[bins])]
+            out = [pa.array(cols[k]) for k in _NAMES[:5]] + [pa.array(bins + base + n_bins), pa.array(offsets), pa.array(done[bins]), pa.array(np.concatenate([h["known"] for h in held]))]
             out[1] = out[1].cast(pa.int32())
             if with_ids:
                 out.append(pa.array([h["ids"][a : a + k].astype(np.int32) for h in held for a, k in zip(h["begin"], h["length"])], pa.list_(pa.int32())))
@@ -166,7 +166,8 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end: int = 1, w
             for part in chunks(batch, "text"):
                 ids = part["doc_id"]
                 found = tokenized(part["text"], np.arange(part.num_rows), vocab_path, capacity, end)
-                found["doc_id"] = np.asarray(ids.fill_null(-1))[found["row"]]
+                found["doc_id"] = np.asarray(ids.fill_null(0))[found["row"]]
+                found["known"] = np.asarray(ids.is_valid())[found["row"]]
                 if not with_ids:
                     found.pop("ids")
                 held.append(found)
@@ -191,4 +192,5 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end: int = 1, w
         accepted = accepted.unionByName(table.where("done"))
         if nodes == 1:
             break
-    return accepted.drop("done")
+    # Ids stay whole numbers on their way; a null one is a null again at the end.
+    return accepted.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("done", "known")
