@@ -30,6 +30,7 @@ from .words import Memo, Texts, chunks, ragged, units
 
 #: Fixed value: how this kind of vocabulary parts text before its merges.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+_WHITE = regex.compile(r"\s+")
 
 
 def _byte_of() -> dict[str, int]:
@@ -147,29 +148,35 @@ class PrefixCounter:
         """Token counts of text[:0], text[:1], ..., text, each as the library encodes that prefix."""
         out = np.zeros(len(text) + 1, np.int64)
         before = 0  # tokens before the segment
+        begin = 0  # where the ordinary text before a special string begins
         for a, b, special in self.segments(text):
             if special:
                 # Until the special string is whole, it is ordinary text that continues the segment before it.
-                begin = next((x for x, y, s in reversed(list(self.segments(text[:a]))) if not s and y == a), a)
                 base = out[begin]
                 for p in range(a + 1, b):
                     out[p] = base + self.count(text[begin:p])
                 before = out[b] = out[a] + 1
+                begin = b
                 continue
+            begin = a
             for m in PATTERN.finditer(text[a:b]):
                 s, e = a + m.start(), a + m.end()
                 piece = m.group()
                 counts = self.prefixes(piece.encode("utf-8"))
-                ends = np.cumsum([len(c.encode("utf-8")) for c in piece])
-                out[s + 1 : e + 1] = before + np.array(counts)[ends]
+                out[s + 1 : e + 1] = before + np.array(counts)[_ends(piece)]
+                before += counts[-1]
                 # A prefix that ends in white space takes the whole run of it as one piece; one that cuts a contraction, two pieces.
-                if s > a and piece[0].isspace() or piece[0] == "'":
-                    run = s
-                    while run > a and text[run - 1].isspace():
-                        run -= 1
-                    for p in range(s + 1, e if piece[0] == "'" else s + 1 + sum(1 for _ in _leading_space(piece))):
+                run = s
+                contracted = len(piece) > 1 and piece[0] == "'" and piece[1].isalpha()
+                white = _WHITE.match(piece)
+                while (white or contracted) and run > a and _WHITE.match(text, run - 1):
+                    run -= 1
+                if contracted:
+                    for p in range(s + 1, e):
                         out[p] = out[run] + sum(map(self._piece, PATTERN.findall(text[run:p])))
-                before += counts[-1]
+                elif run < s:
+                    spaces = text[run : s + white.end()]
+                    out[s + 1 : run + len(spaces) + 1] = (out[run] + np.array(self.prefixes(spaces.encode("utf-8")))[_ends(spaces)])[s - run :]
         return out
 
     def truncate(self, text: str, budget: int) -> str:
@@ -178,11 +185,9 @@ class PrefixCounter:
         return text[: int(np.flatnonzero(counts <= budget)[-1])]
 
 
-def _leading_space(piece: str) -> Iterator[str]:
-    for c in piece:
-        if not c.isspace():
-            return
-        yield c
+def _ends(text: str) -> np.ndarray:
+    """Where each character ends in the UTF-8 form."""
+    return np.cumsum([len(c.encode("utf-8")) for c in text])
 
 
 _OPEN: dict[str, PrefixCounter] = {}

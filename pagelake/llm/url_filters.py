@@ -7,7 +7,8 @@ carries over from one rule to the next. A rule fits if its last state is active
 batched form, all URLs of an Arrow batch move together; the vector spans as many 64-bit words as the rules need.
 
 Defined results: a null URL, or one without "://", has empty host and path, fits no rule and is judged by the default.
-Repeated rows are judged alike; extra columns are kept; an empty table gives an empty table.
+Repeated rows are judged alike; extra columns are kept, but for any named as a result, which the result replaces; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ class Automaton:
 def canonical(url: F.Column) -> tuple[F.Column, F.Column]:
     """Host (A-Z lower-cased) and path of a URL column."""
     url = F.coalesce(url, F.lit(""))
-    rest = F.when(F.locate("://", url) > 0, F.expr("substr({0}, locate('://', {0}) + 3)".format("url"))).otherwise("")
+    rest = F.when(F.locate("://", url) > 0, url.substr(F.locate("://", url) + 3, F.length(url))).otherwise("")
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(F.regexp_replace(rest, r"^[^/?#]*", ""), r"(?s)^[^?#]*", 0)
     return host, path

@@ -3,6 +3,7 @@
 import fnmatch
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -176,3 +177,22 @@ def test_best_fit_is_close_to_the_bound():
     sizes = np.random.default_rng(0).integers(1, 3000, 5000)
     bins, offsets, n = packing.best_fit(sizes, 4096)
     assert np.bincount(bins, sizes).max() <= 4096 and n <= 1.03 * sizes.sum() / 4096
+
+
+@pytest.mark.parametrize("text", [" " * 20_000, "a" + "\n \t" * 7_000 + "b", "<|endoftext|>" * 1_500, "x <|endoftext|>" * 700, "'" * 20_000, " '" * 9_000])
+def test_prefix_counts_in_linear_time(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), token_counts.counter(path)
+    began = time.time()
+    counts = own.prefix_counts(text)
+    assert time.time() - began < 3
+    for p in random.Random(1).sample(range(len(text) + 1), 12):
+        assert counts[p] == len(library.encode(text[:p], add_special_tokens=False).ids)
+
+
+def test_packing_keeps_null_and_large_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN_IN", 4)
+    ids = [None, -1, 0, 2**62 + 1, 2**53 + 1] * 12
+    df = spark.createDataFrame([(i, "some words here") for i in ids], "doc_id long, text string").repartition(6)
+    got = Counter(r.doc_id for r in packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), 64, 1).collect())
+    assert got == Counter(ids)
