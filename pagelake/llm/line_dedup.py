@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, extended, only
-from .words import Texts, Words, chunks, mix
+from .words import FINE, Texts, Words, chunks, mix
 
 #: Buckets of word hashes that are counted: a bounded table, whatever the corpus.
 BITS = 18
@@ -117,7 +117,7 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", FINE):
                 total += np.bincount((Words(Texts(part["text"], lower=True)).hashes() >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
         counts = total.reshape(PARTS, -1)
         used = np.flatnonzero(counts.any(1))
@@ -154,7 +154,7 @@ def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", FINE):
                 lines = Lines(part["text"], rank)
                 digest, second = lines.digests()
                 doc = part["doc"].to_numpy()[lines.text]
@@ -313,7 +313,7 @@ def _sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.ndarr
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", FINE):
                 lines = Lines(part["text"], rank)
                 wanted = {(t, x["line"]): (x["digest"], x["second"]) for t, own in enumerate(part["wanted"].to_pylist()) for x in own}
                 doc = part["doc"].to_numpy()

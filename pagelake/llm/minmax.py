@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import Scratch, only
-from .words import Texts, Words, chunks, mix, shingle_hashes
+from .words import FINE, Texts, Words, chunks, mix, shingle_hashes
 
 
 #: Classes from which a component is big, and shingles that a block of it holds, about.
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = MinMax(bands, rows)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", FINE):
                 sets = shingle_sets(part["text"], k)
                 n = [len(s) for s in sets]
                 d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", FINE):
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([s.tobytes() for s in shingle_sets(part["text"], k)], pa.binary())], ["doc_id", "shingles"])
 
     sets = scratch.write(docs.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(to_sets, "doc_id long, shingles binary"), "sets")

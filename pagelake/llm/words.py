@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
+#: For kernels with many arrays as long as the words.
+FINE = 2 << 20
 #: Longer words are hashed one by one.
 _LONG = 256
 
