@@ -14,7 +14,8 @@ links as connect what all links connect. What is still apart after that, in smal
 into all its pairs, and no link between components is left out.
 
 Defined results: a document with fewer than k words is the one shingle of all its words; one without words or with a null
-text has an empty set and is linked with nothing. Rows with equal doc_id and text get equal rows. A null doc_id is
+text has an empty set and is linked with nothing. Rows with equal doc_id are one document, linked with all that any of
+their texts is linked with; with equal text too, they get equal rows. A null doc_id is
 linked with nothing and kept. Extra columns are ignored; an empty table gives an empty table.
 """
 
