@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .shared import extended, only
-from .words import Memo, Texts, Words, chunks, ragged
+from .words import CHUNK_BYTES, Memo, Texts, Words, chunks, give_back, ragged
 
 #: (least, most) characters per token, most share of byte-fallback tokens, least entropy in bits of a token.
 #: Languages come before scripts. For en, de, fr and es the least characters per token are the 5 % quantile and the least
@@ -166,15 +166,17 @@ def measure(column: pa.Array, langs: list[str | None], path: str, bands: dict[st
     } | {"band": band, "kept": ~failed & fits & ~none}
 
 
-def quality(docs: DataFrame, vocab_path: str, keep: list[str], bands: dict = BANDS, drop: bool = False) -> DataFrame:
-    """docs(text, lang, ...) -> the columns `keep` and MEASURES; with drop: only the rows kept, with the columns `keep` alone."""
+def quality(docs: DataFrame, vocab_path: str, keep: list[str], bands: dict = BANDS, drop: bool = False, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """docs(text, lang, ...) -> the columns `keep` and MEASURES; with drop: only the rows kept, with the columns `keep` alone.
+
+    chunk: bytes of whole texts that a worker measures at once; fewer take less memory and more time."""
     need = list(dict.fromkeys([*keep, "text", *(["lang"] if "lang" in docs.columns else [])]))
     ready = only(docs, *need)
     schema = extended(ready, keep, {} if drop else MEASURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", chunk):
                 langs = part["lang"].to_pylist() if "lang" in part.schema.names else [None] * part.num_rows
                 found = measure(part["text"], langs, vocab_path, bands)
                 own = [part[c] for c in keep]
@@ -183,5 +185,6 @@ def quality(docs: DataFrame, vocab_path: str, keep: list[str], bands: dict = BAN
                 else:
                     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
                     yield pa.RecordBatch.from_arrays([*own, *[v if isinstance(v := found[k], pa.Array) else pa.array(v, kinds[t]) for k, t in MEASURES.items()]], [*keep, *MEASURES])
+            give_back()
 
     return ready.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Scratch, only
-from .words import Memo, Texts, chunks, ragged, units
+from .words import CHUNK_BYTES, Memo, Texts, chunks, give_back, ragged, units
 
 #: Pieces, or unfilled bins, that one best-fit round holds at most.
 BLOCK = 65_536
@@ -118,7 +118,7 @@ def tokenized(column: pa.Array, doc_ids: np.ndarray, vocab_path: str, capacity:
     start = piece * capacity
     length = np.minimum(capacity, n[doc] - start)
     begin = (np.cumsum(n) - n)[doc] + start
-    raw = memoryview(ids.tobytes())
+    raw = memoryview(ids.view(np.uint8))
     crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(begin.tolist(), length.tolist())), np.int64, len(begin))
     return {"row": doc, "doc_id": doc_ids[doc], "piece": piece, "start": start, "length": length, "ids_crc32": crc, "begin": begin, "ids": ids}
 
@@ -137,8 +137,10 @@ def _merge(level: int, nodes: int, capacity: int, full: float):
     return merge
 
 
-def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end: int = 1, with_ids: bool = False) -> DataFrame:
-    """docs(doc_id, text, ...) -> one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked, ids."""
+def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end: int = 1, with_ids: bool = False, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """docs(doc_id, text, ...) -> one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked, ids.
+
+    chunk: bytes of whole texts that a worker encodes at once; fewer take less memory and more time."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     ready = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -163,7 +165,7 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end: int = 1, w
             return pa.RecordBatch.from_arrays(out, names)
 
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", chunk):
                 ids = part["doc_id"]
                 found = tokenized(part["text"], np.arange(part.num_rows), vocab_path, capacity, end)
                 found["doc_id"] = np.asarray(ids.fill_null(0))[found["row"]]
@@ -174,6 +176,7 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end: int = 1, w
                 n_held += len(found["piece"])
                 if n_held >= BLOCK or with_ids:
                     yield settle()
+            give_back()
         if held:
             yield settle()
 

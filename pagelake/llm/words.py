@@ -6,6 +6,7 @@ Texts are never cut: `chunks` only groups whole texts, and one very long text is
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import cached_property
@@ -53,6 +54,16 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         at = end
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Gives memory that is free in this worker back to the system, which the JVM beside it and later stages need."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 class Texts:
     """The texts of a chunk as one byte buffer. A null text is empty."""
 
@@ -222,6 +233,7 @@ class Memo:
         if Memo._last is not self:
             if Memo._last is not None:
                 Memo._last.young, Memo._last.old = {}, {}
+                give_back()
             Memo._last = self
         young, old = self.young, self.old
         found = [young.get(s) for s in strings]
