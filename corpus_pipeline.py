@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from pagelake.llm import fertility, line_dedup, minmax, mixing, packing
 from pagelake.llm.queries import vocab
 from pagelake.llm.shared import Scratch
+from pagelake.llm.words import FINE
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fertility bands."""
-    return fertility.quality(docs, vocab("piece_bpe_32k.model"), docs.columns, drop=True)
+    return fertility.quality(docs, vocab("piece_bpe_32k.model"), docs.columns, drop=True, chunk=FINE)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 4096 tokens."""
-    return packing.pack(docs, vocab("word_bpe_49k.json"), 4096, 1)
+    return packing.pack(docs, vocab("word_bpe_49k.json"), 4096, 1, chunk=FINE)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("near dedup", near_dedup), ("mix sources", mix_sources), ("pack sequences", pack_sequences)]
