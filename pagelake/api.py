@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import schemas
 from .operators import articles, cache, collect, resolve, validate
 from .operators.lineage import checkpoint
+from .operators.rendered import Opener
 from .sources.pages import of_pages
 
 
@@ -46,8 +47,10 @@ def _listings(listings: DataFrame, resolution: DataFrame) -> DataFrame:
     return of_pages(resolution.where("spec IS NOT NULL").withColumn("listing_id", F.col("page_id")), listings, "listing_id", "final_url", "spec")
 
 
-def inspect(listings: DataFrame, pages: DataFrame | None = None, entries: DataFrame | None = None, as_of: Column | None = None, refresh: bool = False, provider: Callable[[str], str] | None = None, spec: DataFrame | None = None) -> Inspection:
-    """How listing pages resolve, and a preview of three steps and ten links. spec(json): one spec that is tried on all of them instead."""
+def inspect(listings: DataFrame, pages: DataFrame | None = None, entries: DataFrame | None = None, as_of: Column | None = None, refresh: bool = False, provider: Callable[[str], str] | None = None, spec: DataFrame | None = None, open_session: Opener | None = None) -> Inspection:
+    """How listing pages resolve, and a preview of three steps, 15 seconds and ten links. spec(json): one spec that is tried on all of them instead.
+
+    open_session: gives a session on a rendered page, in which a given spec is validated and the preview is collected."""
     as_of = as_of if as_of is not None else F.current_timestamp()
     entries = entries if entries is not None else cache.empty(listings.sparkSession)
     if spec is not None:
@@ -57,13 +60,13 @@ def inspect(listings: DataFrame, pages: DataFrame | None = None, entries: DataFr
         if given.limit(2).count() != 1:
             raise ValueError("spec must have one row")
         applied = listings.join(F.broadcast(given), how="inner", on=F.lit(True))
-        checked = validate.validate(applied.where("spec IS NOT NULL").select("page_id", "final_url", "html", "spec"))
+        checked = validate.validate(applied.where("spec IS NOT NULL").select("page_id", "final_url", "html", "spec"), open_session=open_session)
         resolution = applied.select("page_id", "final_url", "spec", "spec_error").join(checked, "page_id", "left")
         resolution = resolution.select("page_id", "final_url", F.lit("given").alias("source"), F.when(F.col("valid"), F.col("spec")).alias("spec"), F.coalesce("valid", F.lit(False)).alias("valid"), "issues", F.col("spec_error").alias("error"))
     else:
         resolution = resolve.resolve(listings, entries, as_of, refresh, provider)
     resolution = checkpoint(resolution)
-    preview = collect.collect(_listings(listings, resolution), pages if pages is not None else listings, schemas.PREVIEW_LIMIT, schemas.PREVIEW_ITERATIONS)
+    preview = collect.collect(_listings(listings, resolution), pages if pages is not None else listings, schemas.PREVIEW_LIMIT, schemas.PREVIEW_ITERATIONS, schemas.PREVIEW_SECONDS if open_session is not None else None, open_session)
     return Inspection(resolution, preview)
 
 
@@ -76,11 +79,12 @@ def extract_articles(pages: DataFrame) -> Download:
     return Download(files, done, articles.summary(done))
 
 
-def download(listings: DataFrame, pages: DataFrame, entries: DataFrame | None = None, as_of: Column | None = None, limit: int | None = None, max_iterations: int = schemas.MAX_ITERATIONS, refresh: bool = False, provider: Callable[[str], str] | None = None, current_page: bool = False, least_status: int | None = None, cache_path: str | None = None) -> Download:
+def download(listings: DataFrame, pages: DataFrame, entries: DataFrame | None = None, as_of: Column | None = None, limit: int | None = None, max_iterations: int = schemas.MAX_ITERATIONS, refresh: bool = False, provider: Callable[[str], str] | None = None, current_page: bool = False, least_status: int | None = None, cache_path: str | None = None, open_session: Opener | None = None, max_seconds: float | None = None) -> Download:
     """Articles of listing pages: resolve, collect links, fetch their pages from the table, extract, name and render.
 
     A listing that doesn't resolve is taken as an article itself. cache_path: a folder of cache generations that entries
-    are read from, unless given, and that the renewed ones are written to; so a second run resolves from the cache."""
+    are read from, unless given, and that the renewed ones are written to; so a second run resolves from the cache.
+    open_session: gives a session on a rendered page, in which links are collected; max_seconds: see collect.collect."""
     positive("limit", limit)
     positive("max_iterations", max_iterations)
     if current_page:
@@ -97,7 +101,7 @@ def download(listings: DataFrame, pages: DataFrame, entries: DataFrame | None =
     if cache_path:
         cache.store(entries, cache_path)
     own = _listings(listings, resolution)
-    collection = checkpoint(collect.collect(own, pages, limit, max_iterations))
+    collection = checkpoint(collect.collect(own, pages, limit, max_iterations, max_seconds, open_session))
     refs = collection.select("listing_id", F.posexplode("links").alias("pos", "link")).select("listing_id", F.col("pos").cast("long").alias("pos"), "link.url", "link.title_hint")
     refs = refs.join(resolution.select(F.col("page_id").alias("listing_id"), "spec"), "listing_id")
     found = articles.fetched(refs, pages, least_status)
@@ -109,3 +113,8 @@ def download(listings: DataFrame, pages: DataFrame, entries: DataFrame | None =
     done = checkpoint(articles.outcomes(made.unionByName(missing).unionByName(fallback)))
     files = articles.files(done.where("status = 'saved'"), ["listing_id", "pos"])
     return Download(files, done, articles.summary(done), collection, resolution, entries)
+
+
+def exit_code(run: Download) -> int:
+    """What a command around download ends with: 1 if any article failed, else 0."""
+    return int(run.summary.first()["failed"] > 0)

@@ -6,6 +6,8 @@ checkpoint folder, so a lost executor costs a reread. The rules for stopping, in
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,7 @@ from pyspark.sql.window import Window
 from .. import schemas
 from ..functions import urls
 from ..sources import pages as sources
+from . import rendered
 from .lineage import checkpoint
 
 
@@ -30,11 +33,13 @@ def page_refs(facts: DataFrame, keep: list[str]) -> DataFrame:
     return facts.withColumn("refs", F.when(F.col("bad_links"), F.slice(distinct, 1, 0)).otherwise(distinct)).select(*keep, "refs")
 
 
-def walk(listings: DataFrame, pages: DataFrame, max_iterations: int = schemas.MAX_ITERATIONS, limit: int | None = None, stale: int = schemas.STALE_LIMIT) -> DataFrame:
-    """listings(listing_id, final_url, html, spec) -> one row per step: listing_id, iter, url, refs, next_url, html_length, spec.
+def walk(listings: DataFrame, pages: DataFrame, max_iterations: int = schemas.MAX_ITERATIONS, limit: int | None = None, stale: int = schemas.STALE_LIMIT, max_seconds: float | None = None) -> DataFrame:
+    """listings(listing_id, final_url, html, spec) -> one row per step: listing_id, iter, url, refs, next_url, html_length, out_of_time, spec.
 
     A page that isn't in the table of pages, or is the page itself, ends the walk; so does a stopping rule, for which a
-    walk carries the URLs it has seen and its counts of steps without progress."""
+    walk carries the URLs it has seen and its counts of steps without progress. max_seconds is a limit on all walks
+    together, since they go step by step; by default there is none."""
+    began = time.monotonic()
     # Keys of pages by URL, written once; a step looks up its few URLs there and fetches their HTML alone.
     by_url = None
     state = ["seen", "dups", "unchanged", "signature"]
@@ -50,12 +55,13 @@ def walk(listings: DataFrame, pages: DataFrame, max_iterations: int = schemas.MA
         step = step.withColumn("signed", F.concat_ws(":", "final_url", "html_length", F.size("seen")))
         step = step.withColumns({"unchanged": F.when(F.col("signed") == F.col("signature"), F.col("unchanged") + 1).otherwise(0), "signature": F.col("signed")})
         step = checkpoint(step.select("listing_id", F.lit(i).alias("iter"), F.col("final_url").alias("url"), "refs", "next_url", "html_length", "spec", *state))
-        told = step.drop(*state)
+        out_of_time = max_seconds is not None and time.monotonic() - began > max_seconds
+        told = step.drop(*state).withColumn("out_of_time", F.lit(out_of_time))
         steps = told if steps is None else steps.unionByName(told)
         going = step.where("next_url IS NOT NULL").where((F.col("dups") < stale) & (F.col("unchanged") < stale))
         if limit:
             going = going.where(F.size("seen") < limit)
-        if i == max_iterations or going.isEmpty():
+        if i == max_iterations or out_of_time or going.isEmpty():
             break
         if by_url is None:
             by_url = checkpoint(pages.groupBy(F.col("final_url").alias("next_url")).agg(F.min("page_id").alias("page_id")))
@@ -66,7 +72,9 @@ def walk(listings: DataFrame, pages: DataFrame, max_iterations: int = schemas.MA
 
 def settle(steps: DataFrame, limit: int | None = schemas.DEFAULT_LIMIT, max_iterations: int = schemas.MAX_ITERATIONS, stale: int = schemas.STALE_LIMIT) -> DataFrame:
     """Steps of walk -> listing_id, links (url, title_hint), iterations, stopped_because: the rules for stopping, in order:
-    limit, complete (no pagination), duplicates, unchanged-dom, complete (no next page), max-iterations."""
+    limit, complete (no pagination), duplicates, unchanged-dom, complete (no next page), max-iterations, max-time; a walk
+    whose session failed has failed. Steps may lack the columns out_of_time and failed."""
+    given = lambda c, kind: F.col(c) if c in steps.columns else F.lit(None).cast(kind)
     refs = steps.select("listing_id", "iter", F.posexplode("refs").alias("pos", "ref")).select("listing_id", "iter", "pos", "ref.*")
     first = Window.partitionBy("listing_id", "url").orderBy("iter", "pos")
     new = refs.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
@@ -74,7 +82,7 @@ def settle(steps: DataFrame, limit: int | None = schemas.DEFAULT_LIMIT, max_iter
     new = new.withColumn("n", F.row_number().over(order))
     counts = new.groupBy("listing_id", "iter").agg(F.count("*").alias("added"))
     walk_order = Window.partitionBy("listing_id").orderBy("iter")
-    rows = steps.select("listing_id", "iter", "url", "next_url", "html_length", F.col("spec.pagination.method").alias("method")).join(counts, ["listing_id", "iter"], "left").fillna(0, ["added"])
+    rows = steps.select("listing_id", "iter", "url", "next_url", "html_length", F.col("spec.pagination.method").alias("method"), given("out_of_time", "boolean").alias("out_of_time"), given("failed", "string").alias("failed")).join(counts, ["listing_id", "iter"], "left").fillna(0, ["added"])
     so_far = rows.withColumn("total", F.sum("added").over(walk_order))
     signature = F.concat_ws(":", "url", "html_length", "total")
     so_far = so_far.withColumn("same", F.coalesce(signature == F.lag(signature).over(walk_order), F.lit(False)).cast("int"))
@@ -86,12 +94,14 @@ def settle(steps: DataFrame, limit: int | None = schemas.DEFAULT_LIMIT, max_iter
     last = F.lead("iter").over(walk_order).isNull()
     reached = F.lit(False) if not limit else F.col("total") >= limit
     stop = (
-        F.when(reached, "limit")
+        F.when(F.col("failed").isNotNull(), "failed")
+        .when(reached, "limit")
         .when(F.col("method") == "none", "complete")
         .when(F.col("dups") >= stale, "duplicates")
         .when(F.col("unchanged") >= stale, "unchanged-dom")
-        .when(last & (F.col("next_url").isNull() | (F.col("iter") < max_iterations)), "complete")
-        .when(last, "max-iterations")
+        .when(last & F.col("next_url").isNull(), "complete")
+        .when(last & (F.col("iter") >= max_iterations), "max-iterations")
+        .when(last, F.when(F.col("out_of_time"), "max-time").otherwise("complete"))
     )
     ended = so_far.withColumn("stop", stop).where("stop IS NOT NULL").groupBy("listing_id").agg(F.min(F.struct("iter", "stop")).alias("e")).select("listing_id", F.col("e.iter").alias("iterations"), F.col("e.stop").alias("stopped_because"))
     kept = new.join(ended, "listing_id").where(F.col("iter") <= F.col("iterations"))
@@ -102,9 +112,15 @@ def settle(steps: DataFrame, limit: int | None = schemas.DEFAULT_LIMIT, max_iter
     return ended.join(links, "listing_id", "left").select("listing_id", F.coalesce("links", none).alias("links"), "iterations", "stopped_because")
 
 
-def collect(listings: DataFrame, pages: DataFrame, limit: int | None = schemas.DEFAULT_LIMIT, max_iterations: int = schemas.MAX_ITERATIONS) -> DataFrame:
-    """listings(listing_id, final_url, html, spec) -> listing_id, links, iterations, stopped_because."""
-    return settle(walk(listings, pages, max_iterations, limit), limit, max_iterations)
+def collect(listings: DataFrame, pages: DataFrame | None, limit: int | None = schemas.DEFAULT_LIMIT, max_iterations: int = schemas.MAX_ITERATIONS, max_seconds: float | None = None, open_session: rendered.Opener | None = None) -> DataFrame:
+    """listings(listing_id, final_url, html, spec) -> listing_id, links, iterations, stopped_because.
+
+    With open_session, the listings are walked in rendered pages, each for at most max_seconds (300 if none are given);
+    else in the table of pages."""
+    if open_session is None:
+        return settle(walk(listings, pages, max_iterations, limit, max_seconds=max_seconds), limit, max_iterations)
+    seconds = schemas.MAX_SECONDS if max_seconds is None else max_seconds
+    return settle(checkpoint(rendered.walk(listings, open_session, max_iterations, limit, max_seconds=seconds)), limit, max_iterations)
 
 
 def new_hrefs(before: Column, after: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import urls
 from ..sources import pages as sources
+from . import rendered
 
 
 def issue(when: Column, code: str, message: Column | str, selector: Column | None = None) -> Column:
@@ -36,15 +37,18 @@ def is_valid(issues: Column) -> Column:
     return F.forall(issues, lambda i: i["severity"] != "error")
 
 
-def validate(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """pages(page_id, final_url, html, spec) -> the columns `keep`, valid, issues, link_count, unique_url_count."""
+def validate(pages: DataFrame, keep: list[str] | None = None, open_session: rendered.Opener | None = None) -> DataFrame:
+    """pages(page_id, final_url, html, spec) -> the columns `keep`, valid, issues, link_count, unique_url_count.
+
+    With open_session, links, container and controls are judged on the rendered page."""
     keep = keep or ["page_id"]
-    facts = sources.spec_facts(pages, list(dict.fromkeys([*keep, "spec"])))
+    own = list(dict.fromkeys([*keep, "spec"]))
+    facts = sources.spec_facts(pages, own).withColumn("rendered_error", F.lit(None).cast("string")) if open_session is None else rendered.spec_facts(pages, own, open_session)
     listing, article, paging = F.col("spec.listing"), F.col("spec.article"), F.col("spec.pagination")
     link, pattern, container = listing["article_link_selector"], listing["article_link_href_pattern"], listing["container_selector"]
     n_links, n_matching, n_unique = link_stats(F.col("hrefs"))
     facts = facts.withColumns({"n_links": n_links, "n_matching": n_matching, "n_unique": F.when(F.col("pattern_ok"), n_unique).otherwise(0)})
-    good = ~F.col("bad_links")
+    good = ~F.col("bad_links") & F.col("rendered_error").isNull()
     bad = F.transform("bad_excludes", lambda s: F.struct(F.lit("error").alias("severity"), F.lit("invalid-exclude-selector").alias("code"), F.concat(F.lit("not a selector: "), s).alias("message"), s.alias("selector")))
     by_selector = article["method"] == "selector"
     content = article["content_selector"]
@@ -55,6 +59,7 @@ def validate(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
         issue(F.col("bad_links"), "invalid-article-link-selector", F.concat(F.lit("not a selector: "), link), link),
         issue(good & ~F.col("pattern_ok"), "invalid-href-pattern", F.concat(F.lit("not a pattern: "), pattern)),
         *rule_issues(F.col("n_links"), F.col("n_matching"), F.col("n_unique"), link, good & F.col("pattern_ok")),
+        issue(F.col("rendered_error").isNotNull(), "rendered-article-link-validation-failed", F.concat(F.lit("the session failed: "), F.col("rendered_error")), link),
         issue(F.col("container_chars") == 0, "container-selector-empty-content", "the container has no text", container),
     ]
     later = [

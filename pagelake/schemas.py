@@ -32,11 +32,12 @@ CONTENT_CHARS = 80
 CONFIDENCE = 0.7
 TOP_CANDIDATES = 8
 MAX_ITERATIONS = 100
+MAX_SECONDS = 300.0
 STALE_LIMIT = 5
 CACHE_DAYS = 30
 ZERO_RESULTS = 3
 DEFAULT_LIMIT = 100
-PREVIEW_ITERATIONS, PREVIEW_LIMIT = 3, 10
+PREVIEW_ITERATIONS, PREVIEW_LIMIT, PREVIEW_SECONDS = 3, 10, 15.0
 WAIT = ("domcontentloaded", 1500, 30000)
 ENGINE_VERSION = "0.1.0"
 

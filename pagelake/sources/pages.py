@@ -4,6 +4,7 @@ Parsing is the one step that needs Python. It runs once per page and map-only; H
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,14 +50,20 @@ def from_html(spark: SparkSession, url: str, html: str) -> DataFrame:
     return spark.createDataFrame([(0, url, url, 200, html, "rendered", "auto")], schemas.PAGES)
 
 
-def from_fetcher(urls: DataFrame, fetch: Callable[[str], tuple[str, int, str]]) -> DataFrame:
-    """urls(page_id, url) fetched on the executors by fetch(url) -> (final url, status, html); a failure is a row with status 0."""
+def from_fetcher(urls: DataFrame, fetch: Callable[[str], tuple[str, int, str]], delay: float = 0.0) -> DataFrame:
+    """urls(page_id, url) fetched on the executors by fetch(url) -> (final url, status, html); a failure is a row with status 0.
+
+    delay: seconds that a task waits before each page but its first; how many are fetched at once is the number of tasks."""
 
     schema = to_arrow_schema(StructType.fromDDL(schemas.PAGES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
         for batch in batches:
             for row in batch.to_pylist():
+                if begun and delay:
+                    time.sleep(delay)
+                begun = True
                 try:
                     final, status, html = fetch(row["url"])
                 except Exception as error:  # noqa: BLE001  a page that can't be had is a result
