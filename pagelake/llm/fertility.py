@@ -42,6 +42,8 @@ BANDS: dict[str, tuple[float, float, float, float]] = {
     "hangul": (0.2, 4.0, 0.95, 3.0),
     "none": (0.2, 12.0, 0.95, 0.0),
 }
+#: Words of which a worker keeps the ids, in each of two generations.
+MEMO = 150_000
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "semitic", "indic", "cjk", "hangul")
 
 #: The script of a letter by the first byte of its UTF-8 form.
@@ -75,7 +77,7 @@ class Vocabulary:
             self.fallback = np.zeros(self.size, bool)
             self.fallback[[i for t, i in model.get_vocab().items() if len(t.removesuffix("</w>")) == 1 and not t[0].isascii()]] = True
             encode = lambda words: [e.ids for e in map(lambda w: model.encode(w, add_special_tokens=False), words)]
-        self.ids = Memo(lambda words: [array("i", x).tobytes() for x in encode(words)])
+        self.ids = Memo(lambda words: [array("i", x).tobytes() for x in encode(words)], MEMO)
 
 
 _OPEN: dict[str, Vocabulary] = {}
@@ -166,15 +168,16 @@ def measure(column: pa.Array, langs: list[str | None], path: str, bands: dict[st
     } | {"band": band, "kept": ~failed & fits & ~none}
 
 
-def quality(docs: DataFrame, vocab_path: str, keep: list[str], bands: dict = BANDS, drop: bool = False, chunk: int = CHUNK_BYTES) -> DataFrame:
+def quality(docs: DataFrame, vocab_path: str, keep: list[str], bands: dict = BANDS, drop: bool = False, chunk: int = CHUNK_BYTES, memo: int = MEMO) -> DataFrame:
     """docs(text, lang, ...) -> the columns `keep` and MEASURES; with drop: only the rows kept, with the columns `keep` alone.
 
-    chunk: bytes of whole texts that a worker measures at once; fewer take less memory and more time."""
+    chunk: bytes of whole texts that a worker measures at once; memo: words whose ids a worker keeps. Fewer take less memory and more time."""
     need = list(dict.fromkeys([*keep, "text", *(["lang"] if "lang" in docs.columns else [])]))
     ready = only(docs, *need)
     schema = extended(ready, keep, {} if drop else MEASURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary(vocab_path).ids.size = memo
         for batch in batches:
             for part in chunks(batch, "text", chunk):
                 langs = part["lang"].to_pylist() if "lang" in part.schema.names else [None] * part.num_rows

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, extended, only
-from .words import FINE, Texts, Words, chunks, mix
+from .words import FINE, Texts, Words, chunks, mix, tidy
 
 #: Buckets of word hashes that are counted: a bounded table, whatever the corpus.
 BITS = 18
@@ -111,7 +111,7 @@ def _row_of(doc_id: str, text: str) -> tuple[F.Column, F.Column]:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("own")
 
 
-def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
+def rarity(docs: DataFrame, spare: bool = False) -> tuple[np.ndarray, int]:
     """The rank of each bucket of word hashes by its count over the whole corpus, and the rank from which words are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array(used + part * (BUCKETS // PARTS), pa.int64()), pa.array(counts[used])], ["bucket", "words"])
 
     # A task sends its counts as PARTS arrays; each task after the exchange holds sums alone.
-    counted = only(docs, "text").mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(summed, "bucket long, words long").toArrow()
+    counted = only(docs, "text").mapInArrow(tidy(run, spare), "part int, counts binary").repartition("part").mapInArrow(summed, "bucket long, words long").toArrow()
     bucket, words = counted["bucket"].to_numpy(), counted["words"].to_numpy()
     order = np.lexsort((bucket, words))
     place = np.arange(len(order)) * 65_535 // max(1, len(order))
@@ -149,7 +149,7 @@ def _least(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
+def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int, spare: bool) -> DataFrame:
     """A row per line with words; prefix, with a word more than the prefix filter needs, only for the first of equal ones in a chunk, and null where no other line can be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def _occurrences(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
                 kept = lambda x, none=size == 0: pa.array(x, pa.int64(), mask=none)
                 yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(second), pa.array(doc), pa.array(part["own"].to_numpy()[lines.text]), pa.array(lines.number), kept(n), *map(kept, lines.maps()), listed], ["digest", "second", "doc", "own", "line", "n", "m1", "m2", "prefix"])
 
-    return _ready(docs).mapInArrow(run, "digest long, second long, doc long, own long, line long, n long, m1 long, m2 long, prefix array<long>")
+    return _ready(docs).mapInArrow(tidy(run, spare), "digest long, second long, doc long, own long, line long, n long, m1 long, m2 long, prefix array<long>")
 
 
 #: Rows of word groups: size and place of the word are in one number, the size first.
@@ -306,7 +306,7 @@ def _in_groups(percent: int, frequent: int):
     return run
 
 
-def _sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.ndarray, scratch: Scratch, name: str) -> DataFrame:
+def _sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.ndarray, scratch: Scratch, name: str, spare: bool) -> DataFrame:
     """digest, second, doc, line, words: the sets of the needed(digest) classes and their first places, from one pass over the texts that have these."""
     places = classes.select("digest", "second", "doc", "own", "line").join(needed, "digest").groupBy("doc", "own").agg(F.collect_list(F.struct("line", "digest", "second")).alias("wanted"))
     places = scratch.write(places, f"{name}_places")
@@ -323,10 +323,10 @@ def _sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, rank: np.ndarr
 
     # Of repeated rows one is enough; their grouping needs no further exchange where the join has sorted them.
     held = _ready(docs).join(places, ["doc", "own"]).groupBy("doc", "own").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
-    return scratch.write(held.select("doc", "text", "wanted").mapInArrow(to_sets, "digest long, second long, doc long, line long, words binary"), name)
+    return scratch.write(held.select("doc", "text", "wanted").mapInArrow(tidy(to_sets, spare), "digest long, second long, doc long, line long, words binary"), name)
 
 
-def _later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _later(pairs: DataFrame, sets: DataFrame, percent: int, spare: bool) -> DataFrame:
     """digest, second: of the pairs (a, b) of digests whose sets are similar, the class that comes later."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +342,7 @@ def _later(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(side("x"), F.col("a") == F.col("x_digest")).join(side("y"), F.col("b") == F.col("y_digest"))
     x_place, y_place = F.struct("x_doc", "x_line"), F.struct("y_doc", "y_line")
     pick = lambda c: F.when(x_place < y_place, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(c)
-    return joined.where(x_place != y_place).select(pick("digest"), pick("second"), "x_words", "y_words").mapInArrow(compare, "digest long, second long").distinct()
+    return joined.where(x_place != y_place).select(pick("digest"), pick("second"), "x_words", "y_words").mapInArrow(tidy(compare, spare), "digest long, second long").distinct()
 
 
 def _rest(big: DataFrame, late: DataFrame, found: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -392,20 +392,22 @@ def _gone(found: DataFrame, classes: DataFrame, matched: DataFrame, scratch: Scr
     return scratch.write(gone.groupBy("doc", "own").agg(F.collect_set("line").alias("lines")), "gone")
 
 
-def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs(doc_id, text) -> doc, own, lines: the numbers (from 0) of the lines of each document, by id and digest of its text, that go."""
+def later_matches(docs: DataFrame, percent: int = 80, spare: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc, own, lines: the numbers (from 0) of the lines of each document, by id and digest of its text, that go.
+
+    spare: workers give their free memory back after each task, which takes a little more time."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     scratch = Scratch(docs.sparkSession, "lines")
-    rank, frequent = rarity(docs)
-    found = scratch.write(_occurrences(docs, rank, percent), "occurrences")
+    rank, frequent = rarity(docs, spare)
+    found = scratch.write(_occurrences(docs, rank, percent, spare), "occurrences")
 
     n = F.col("n")
     rows = found.where("prefix IS NOT NULL").select("digest", "doc", "line", "n", "m1", "m2", F.posexplode(F.slice("prefix", F.lit(1), (n - F.floor((percent * n + 99) / 100) + 1).cast("int"))).alias("at", "word"))
     is_frequent = F.shiftrightunsigned("word", 48) >= frequent
     salt = F.shiftleft(F.pmod(F.xxhash64("digest"), F.lit(SALTS)), _SALT_BIT)
     rows = rows.select(F.when(is_frequent, F.col("word").bitwiseXOR(salt)).otherwise(F.col("word")).alias("word"), (F.shiftleft("n", 32) + F.col("at")).alias("sized"), "digest", "m1", "m2", "doc", "line")
-    groups = scratch.write(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_in_groups(percent, frequent), _CANDIDATE), "groups")
+    groups = scratch.write(rows.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(_in_groups(percent, frequent), spare), _CANDIDATE), "groups")
 
     place = F.struct("doc", "line", "own")
     classes = found.groupBy("digest", "second").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("rows"))
@@ -413,26 +415,26 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = scratch.write(groups.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
     big = groups.where("a IS NULL").drop("a", "b").withColumn("word", F.col("word").bitwiseAND(F.lit(_UNSALTED)))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).union(big.where(F.col("more") < _LARGE).select("digest")).distinct()
-    sets = _sets(needed, classes, docs, rank, scratch, "sets")
-    matched = scratch.write(_later(pairs, sets, percent), "matched")
+    sets = _sets(needed, classes, docs, rank, scratch, "sets", spare)
+    matched = scratch.write(_later(pairs, sets, percent, spare), "matched")
     # Those that may have more candidates and are still without an earlier match.
     late = scratch.write(big.where("more > 0").join(matched.select("digest").distinct(), "digest", "left_anti"), "late")
     if not late.isEmpty():
         rest = scratch.write(_rest(big, late, found, percent, scratch).join(pairs, ["a", "b"], "left_anti"), "rest")
         missing = scratch.write(rest.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(sets.select("digest"), "digest", "left_anti"), "missing")
         if not missing.isEmpty():
-            sets = sets.union(_sets(missing, classes, docs, rank, scratch, "more_sets"))
-        matched = scratch.write(matched.union(_later(rest, sets, percent)).distinct(), "all_matched")
+            sets = sets.union(_sets(missing, classes, docs, rank, scratch, "more_sets", spare))
+        matched = scratch.write(matched.union(_later(rest, sets, percent, spare)).distinct(), "all_matched")
     gone = _gone(found, classes, matched, scratch)
     scratch.drop_all_but(gone)
     return gone
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, spare: bool = False) -> DataFrame:
     """The documents with later lines removed, and n_lines (with words) and n_removed at the end; n_chars follows the text if there is such a column."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     text, doc = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
-    gone = later_matches(docs, percent)
+    gone = later_matches(docs, percent, spare)
     row_doc, row_own = _row_of(doc, text)
     joined = docs.toDF(*names).join(gone.hint("shuffle_hash"), (row_doc == F.col("doc")) & (row_own == F.col("own")), "left")
 
@@ -453,7 +455,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], [*names, "n_lines", "n_removed"])
 
     kept = joined.select(*names, "lines")
-    out = kept.mapInArrow(cut, extended(kept, names, {"n_lines": "long", "n_removed": "long"}))
+    out = kept.mapInArrow(tidy(cut, spare), extended(kept, names, {"n_lines": "long", "n_removed": "long"}))
     if "n_chars" in docs.columns:
         chars = names[docs.columns.index("n_chars")]
         out = out.withColumn(chars, F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(chars)))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import Scratch, only
-from .words import FINE, Texts, Words, chunks, mix, shingle_hashes
+from .words import FINE, Texts, Words, chunks, mix, shingle_hashes, tidy
 
 
 #: Classes from which a component is big, and shingles that a block of it holds, about.
@@ -74,7 +74,7 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(hashes[a:b], k)) for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())]
 
 
-def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+def sketches(docs: DataFrame, k: int, bands: int, rows: int, spare: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, d1 and d2 (digest of the set), keys (of its bands)."""
     schema = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"
 
@@ -91,10 +91,10 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "n_shingles", "d1", "d2", "keys"])
 
-    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema)
+    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(run, spare), schema)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, spare: bool) -> DataFrame:
     """The pairs (a, b) whose full sets have at least that similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
     joined = joined.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-    return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "left", "right").mapInArrow(tidy(run, spare), "a long, b long")
 
 
 def _forest(members: list[np.ndarray], member_ids: np.ndarray, one: np.ndarray, asking: list[np.ndarray], asking_ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -172,14 +172,14 @@ def _to_big(attached: DataFrame, found: DataFrame, sets: DataFrame, percent: int
     return scratch.write(own.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(hold, "a long, b long"), "big_links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, spare: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (it is its own).
 
-    Links: 100 * common shingles >= percent * shingles of either."""
+    Links: 100 * common shingles >= percent * shingles of either. spare: workers give their free memory back after each task."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minmax")
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    every = scratch.write(sketches(docs, k, bands, rows), "sketches")
+    every = scratch.write(sketches(docs, k, bands, rows, spare), "sketches")
     filled = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.write(filled.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("x")).select("d1", "d2", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.keys").alias("keys")), "classes")
 
@@ -193,12 +193,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             for part in chunks(batch, "text", FINE):
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([s.tobytes() for s in shingle_sets(part["text"], k)], pa.binary())], ["doc_id", "shingles"])
 
-    sets = scratch.write(docs.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(to_sets, "doc_id long, shingles binary"), "sets")
+    sets = scratch.write(docs.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(to_sets, spare), "doc_id long, shingles binary"), "sets")
     sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
     stars = shared.where("rep <> hub").select("hub", "rep", "n").distinct().join(sizes, "hub")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = scratch.write(stars.where(fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "stars")
-    links = scratch.write(_confirmed(stars, sets, percent), "links")
+    links = scratch.write(_confirmed(stars, sets, percent, spare), "links")
     found = components(links, scratch)
 
     named = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     more = outer.join(inner, "key").where((F.col("xc") != F.col("yc")) & once & fits(F.col("xn"), F.col("yn")) & ~F.arrays_overlap("xf", "yf"))
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = more.join(stars, ["a", "b"], "left_anti")
-    links = links.union(scratch.write(_confirmed(more, sets, percent), "more"))
+    links = links.union(scratch.write(_confirmed(more, sets, percent, spare), "more"))
     found = components(links, scratch)
 
     members = every.join(classes.select("d1", "d2", "rep"), (every.d1 == classes.d1) & (every.d2 == classes.d2) & (every.n_shingles > 0) & every.doc_id.isNotNull(), "left").select("doc_id", "n_shingles", "rep")

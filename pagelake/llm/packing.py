@@ -28,6 +28,8 @@ from .words import CHUNK_BYTES, Memo, Texts, chunks, give_back, ragged, units
 BLOCK = 65_536
 #: Bins that meet in one task of a higher level.
 FAN_IN = 4_096
+#: Pieces of text of which a worker keeps the ids, in each of two generations.
+MEMO = 250_000
 #: The share of the capacity from which a bin is final, by level. The last level accepts every bin.
 FULL = (0.995, 0.98, 0.95, 0.9, 0.75, 0.0)
 
@@ -68,7 +70,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.mark = self._encode(self.SEPARATOR)
-        self.memo = Memo(self._many, 250_000)
+        self.memo = Memo(self._many, MEMO)
 
     def _encode(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
@@ -137,10 +139,10 @@ def _merge(level: int, nodes: int, capacity: int, full: float):
     return merge
 
 
-def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end: int = 1, with_ids: bool = False, chunk: int = CHUNK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end: int = 1, with_ids: bool = False, chunk: int = CHUNK_BYTES, memo: int = MEMO) -> DataFrame:
     """docs(doc_id, text, ...) -> one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked, ids.
 
-    chunk: bytes of whole texts that a worker encodes at once; fewer take less memory and more time."""
+    chunk: bytes of whole texts that a worker encodes at once; memo: pieces of text whose ids a worker keeps. Fewer take less memory and more time."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     ready = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -164,6 +166,7 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 4096, end: int = 1, w
             held, n_held, n_bins = [], 0, n_bins + n
             return pa.RecordBatch.from_arrays(out, names)
 
+        encoder(vocab_path).memo.size = memo
         for batch in batches:
             for part in chunks(batch, "text", chunk):
                 ids = part["doc_id"]

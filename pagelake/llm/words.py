@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 4 << 20
 #: For kernels with many arrays as long as the words.
 FINE = 2 << 20
+#: Where several stages share a worker and memory is short.
+FINEST = 1 << 20
 #: Longer words are hashed one by one.
 _LONG = 256
 
@@ -64,6 +66,17 @@ def give_back() -> None:
         _trim(0)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], spare: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The batch function `run`, which if asked to spare memory drops what an earlier stage's memo keeps in this worker, and gives free memory back at the end of its task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.forget()
+        yield from run(batches)
+        give_back()
+
+    return tidied if spare else run
+
+
 class Texts:
     """The texts of a chunk as one byte buffer. A null text is empty."""
 
@@ -229,11 +242,17 @@ class Memo:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @classmethod
+    def forget(cls) -> None:
+        """Empties the memo used last."""
+        if cls._last is not None:
+            cls._last.young, cls._last.old = {}, {}
+            cls._last = None
+            give_back()
+
     def __call__(self, strings: list[str]) -> list[bytes]:
         if Memo._last is not self:
-            if Memo._last is not None:
-                Memo._last.young, Memo._last.old = {}, {}
-                give_back()
+            Memo.forget()
             Memo._last = self
         young, old = self.young, self.old
         found = [young.get(s) for s in strings]

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagelake.llm import line_dedup
+from pagelake.llm import line_dedup, words
 
 
 def sets_of(text):
@@ -114,3 +114,14 @@ def test_null_and_repeated_ids_with_different_texts(spark, percent):
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent).collect()
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text, r.n_removed)) for r in out)
     assert (None, "d e f\ng h i j k", 0) in want and (2, "t u\nk l m n o", 0) in want
+
+
+def test_spare_drops_memos_and_keeps_results(spark):
+    memo = words.Memo(lambda strings: [s.encode() for s in strings])
+    memo(["a", "b"])
+    run = lambda batches: iter([len(memo.young), *batches])
+    assert list(words.tidy(run, spare=False)(iter([1]))) == [2, 1]
+    assert list(words.tidy(run)(iter([1]))) == [0, 1] and memo(["a"]) == [b"a"]
+    df = spark.createDataFrame([(1, "a b c d e\nq"), (2, "A b c d e\nr"), (3, None)], "doc_id long, text string")
+    rows = lambda spare: sorted(map(tuple, line_dedup.dedup_lines(df, spare=spare).collect()))
+    assert rows(True) == rows(False) == [(1, "a b c d e\nq", 2, 0), (2, "r", 2, 1), (3, None, 0, 0)]
