@@ -379,6 +379,10 @@ def test_article_frontmatter_is_as_in_sql(spark, titled):
     assert sorted(map(tuple, queries.article_frontmatter(spark, titled).collect())) == by_sql(titled, "article_frontmatter")
 
 
+def test_filename_unique_is_as_in_sql(spark, titled):
+    assert sorted(map(tuple, queries.filename_unique(spark, titled).collect())) == by_sql(titled, "filename_unique")
+
+
 def test_sources_and_functions(spark, tmp_path):
     (tmp_path / "one.html").write_text("<h1>One</h1><p>é</p>")
     page = sources.from_dir(spark, f"file://{tmp_path}", "https://d.test/").first()
